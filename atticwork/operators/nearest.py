@@ -167,4 +167,4 @@ def embed(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]]
 def letter_vector(text: Column, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
     """Letter counts as a vector: a deterministic stand-in where no embedding model is at hand."""
     low = F.lower(text)
-    return F.array(*[F.regexp_count(low, F.lit(c)).cast("float") for c in alphabet])
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in alphabet])

@@ -100,7 +100,7 @@ def video_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:
     item = F.struct("segment_id", "track_id", "quality", "frame_index")
     order = ["no_frame", "frame_index", "track_id", "segment_id"]
     parts = in_parts(faces, ["video_id", "local_person_id"], order, item, "items")
-    return parts.select("video_id", "local_person_id", "part", F.to_json("items").alias("segments"))
+    return parts.select("video_id", "local_person_id", "part", F.to_json("items", {"ignoreNullFields": "false"}).alias("segments"))
 
 
 def person_days(tracks: DataFrame, videos: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def person_files(tracks: DataFrame, videos: DataFrame) -> DataFrame:
     parts = in_parts(own, ["local_person_id", "video_id"], ["_worse", "id"], item, "items")
     files = videos.select(F.col("id").alias("video_id"), "filename", "start_time")
     return parts.join(files, "video_id").select(
-        "local_person_id", "video_id", "filename", "start_time", "part", F.to_json("items").alias("tracks")
+        "local_person_id", "video_id", "filename", "start_time", "part", F.to_json("items", {"ignoreNullFields": "false"}).alias("tracks")
     )
 
 

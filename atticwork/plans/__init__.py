@@ -1,6 +1,6 @@
 """Queries over the driver tables, one module per family."""
 
-from . import dedup, search, visits  # noqa: F401
+from . import camera, catalogs, dedup, people, search, visits  # noqa: F401
 from .catalog import CATALOG
 
 __all__ = ["CATALOG"]
