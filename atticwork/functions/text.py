@@ -44,9 +44,16 @@ def markdown_clean(col: Column | str) -> Column:
     return strip(out)
 
 
+# The characters of the Unicode white-space class.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 # Two letters outside ordinary writing stand for the dot and the slash of an address while

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -91,29 +92,37 @@ def split_long_section(df: DataFrame, title: str, content: str, max_size: int =
     """
     size = F.length(content)
     target = F.floor(size / F.ceil(size / max_size)).cast("int")
-    paragraphs = F.split(content, "\n\n")
     start = F.struct(F.lit(0).alias("held"), F.array(F.lit(0)).alias("cuts"))
 
     def step(acc: Column, p: Column) -> Column:
-        length, index = F.length(p["text"]) + 2, p["i"]
-        full = (acc["held"] + length > target) & (index > F.element_at(acc["cuts"], -1))
+        length, index = p["size"] + 2, p["i"]
+        full = (acc["held"] + length > F.col("_target")) & (index > F.element_at(acc["cuts"], -1))
         return F.when(
-            full, F.struct(F.length(p["text"]).alias("held"), F.concat(acc["cuts"], F.array(index)).alias("cuts"))
+            full, F.struct(p["size"].alias("held"), F.concat(acc["cuts"], F.array(index)).alias("cuts"))
         ).otherwise(F.struct((acc["held"] + length).alias("held"), acc["cuts"].alias("cuts")))
 
-    numbered = F.transform(paragraphs, lambda p, i: F.struct(i.alias("i"), p.alias("text")))
-    cuts = F.aggregate(numbered, start, step)["cuts"]
+    sizes = F.transform("_paragraphs", lambda p, i: F.struct(i.alias("i"), F.length(p).alias("size")))
     texts = F.transform(
-        cuts,
+        "_cuts",
         lambda at, k: F.array_join(
-            F.slice(paragraphs, at + 1, F.coalesce(F.get(cuts, k + 1), F.size(paragraphs)) - at), "\n\n"
+            F.slice("_paragraphs", at + 1, F.coalesce(F.get("_cuts", k + 1), F.size("_paragraphs")) - at), "\n\n"
         ),
     )
-    long = size > max_size
-    parts = F.when(long, texts).otherwise(F.array(F.col(content)))
-    return df.select("*", F.posexplode(parts).alias("part_no", "part_content")).withColumn(
-        "part_title",
-        F.when(long, F.concat(F.col(title), F.lit(f" - {PART_WORD} "), (F.col("part_no") + 1).cast("string"))).otherwise(F.col(title)),
+    # Paragraphs and cuts are columns of their own so that no lambda splits the text again.
+    long = df.withColumn("_long", size > max_size).withColumn(
+        "_paragraphs", F.when(F.col("_long"), F.split(content, "\n\n")).otherwise(F.array(F.col(content)))
+    )
+    long = long.withColumn("_target", target).withColumn("_sizes", sizes)
+    long = long.withColumn("_cuts", F.aggregate("_sizes", start, step)["cuts"])
+    return (
+        long.select("*", F.posexplode(texts).alias("part_no", "part_content"))
+        .withColumn(
+            "part_title",
+            F.when(
+                F.col("_long"), F.concat(F.col(title), F.lit(f" - {PART_WORD} "), (F.col("part_no") + 1).cast("string"))
+            ).otherwise(F.col(title)),
+        )
+        .drop("_long", "_paragraphs", "_target", "_sizes", "_cuts")
     )
 
 
@@ -153,17 +162,19 @@ def number_sections(sections: DataFrame, existing: DataFrame | None = None) -> D
     """Continue the numbering of a book with its new sections.
 
     ``sections(book, path, title, content)``, ``existing(book, idx, title)``. Titles already present and
-    second uses of a title are skipped and take no number; untitled sections are always kept.
+    second uses of a title are skipped and take no number; untitled sections are always kept. The
+    sections of a book come from one file, that is one row, so a plain window is bounded.
     """
     titled = first_per_key(sections.filter("title <> ''"), ["book", "title"], ["path"])
     fresh = titled.unionByName(sections.filter("title = ''"))
+    number = F.row_number().over(W.partitionBy("book").orderBy("path"))
     if existing is not None:
         fresh = fresh.join(existing.select("book", "title").distinct(), ["book", "title"], "left_anti")
         top = existing.groupBy("book").agg(F.max("idx").alias("_top"))
-        numbered = ranked(fresh, ["book"], ["path"], "_n").join(top, "book", "left")
+        numbered = fresh.withColumn("_n", number).join(top, "book", "left")
         idx = F.coalesce(F.col("_top"), F.lit(-1)) + F.col("_n")
     else:
-        numbered = ranked(fresh, ["book"], ["path"], "_n")
+        numbered = fresh.withColumn("_n", number)
         idx = F.col("_n") - 1
     return numbered.withColumn("idx", idx.cast("long")).withColumn(
         "file_name", t.numbered_file_title(F.col("title"), idx.cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import lag_then_sum, lagged
+from .ordered import lag_then_group, lagged
 
 
 def _order(df: DataFrame, ts: str, tie: list[str]) -> tuple[DataFrame, list[str]]:
@@ -35,7 +35,7 @@ def gap_groups(
 ) -> DataFrame:
     """``gap_flag`` plus ``group_id``, the running number of the visit within its key."""
     ordered, order = _order(df, ts, tie)
-    return lag_then_sum(
+    return lag_then_group(
         ordered,
         [key],
         order,
@@ -43,7 +43,7 @@ def gap_groups(
         lambda d: _new_group(d[ts] - d["prev_ts"], d["prev_ts"], gap, strict),
         group="group_id",
         prev="prev_ts",
-    ).drop("_no_ts")
+    ).drop("_no_ts", "place")
 
 
 def visit_counts(df: DataFrame, key: str, ts: str, gap: Column, tie: list[str], strict: bool = True) -> DataFrame:

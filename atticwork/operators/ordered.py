@@ -16,6 +16,7 @@ makes broadcasting them safe. The split points only decide where a range is cut;
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -146,23 +147,48 @@ def _sum_in_segments(seg: DataFrame, keys: list[str], order: list[str], value: s
     )
 
 
-def lag_then_sum(
+def lag_then_group(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     value: str,
-    flag,
+    flag: Callable[[DataFrame], Column],
     group: str,
     prev: str = "prev_value",
+    place: str = "place",
 ) -> DataFrame:
-    """Lag, a flag computed from it, and the running sum of the flag, on one segmentation.
+    """Groups of consecutive rows on one segmentation.
 
-    ``flag`` maps a DataFrame that has column ``prev`` to the flag Column.
+    ``flag`` maps a DataFrame that has column ``prev`` (the lag of ``value``) to 1 where a group starts.
+    Adds ``is_new``, the running number ``group`` and the row's ``place`` within its group, from 1.
     """
-    seg = with_segments(df, keys, order)
-    lagged_seg = _lag_in_segments(seg, keys, order, value, prev)
-    flagged = lagged_seg.withColumn("is_new", flag(lagged_seg))
-    return _sum_in_segments(flagged, keys, order, "is_new", group).drop("_seg", "_hot")
+    lagged_seg = _lag_in_segments(with_segments(df, keys, order), keys, order, value, prev)
+    w = _window(keys, order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    local = (
+        lagged_seg.withColumn("is_new", flag(lagged_seg))
+        .withColumn("_pos", F.row_number().over(w).cast("long"))
+        .withColumn(group, F.sum("is_new").over(upto))
+        .withColumn("_start", F.max(F.when(F.col("is_new") == 1, F.col("_pos"))).over(upto))
+    )
+    before = _before(keys)
+    sums = (
+        local.filter("_hot")
+        .groupBy(*keys, "_seg")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("is_new").alias("_g"), F.max("_start").alias("_last"))
+        .withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_g0", F.coalesce(F.sum("_g").over(before), F.lit(0)))
+        .withColumn("_s0", F.last(F.col("_n0") + F.col("_last"), ignorenulls=True).over(before))
+        .select(*keys, "_seg", "_n0", "_g0", "_s0")
+    )
+    rows_before = F.coalesce("_n0", F.lit(0))
+    started = F.coalesce(rows_before + F.col("_start"), F.col("_s0"))
+    return (
+        _attach(local, sums, [*keys, "_seg"])
+        .withColumn(group, F.col(group) + F.coalesce("_g0", F.lit(0)))
+        .withColumn(place, rows_before + F.col("_pos") - started + 1)
+        .drop("_seg", "_hot", "_pos", "_start", "_n0", "_g0", "_s0")
+    )
 
 
 PART_ROWS = 1000
@@ -181,10 +207,16 @@ def in_parts(
     One output row per key and ``part`` (0, 1, 2, …), each holding at most ``part_rows`` items in
     order. Nothing is dropped: the parts of a key put together are the whole list.
     """
-    numbered = ranked(df, keys, order, "_rn")
+    return collect_parts(ranked(df, keys, order, "_rn"), keys, "_rn", item, name, part_rows)
+
+
+def collect_parts(
+    df: DataFrame, keys: list[str], place: str, item: Column, name: str, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """The same where the rows already know their ``place`` within the key."""
     return (
-        numbered.withColumn("part", F.floor((F.col("_rn") - 1) / part_rows).cast("int"))
+        df.withColumn("part", F.floor((F.col(place) - 1) / part_rows).cast("int"))
         .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", item.alias("_item")))).alias("_items"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("_rn"), item.alias("_item")))).alias("_items"))
         .select(*keys, "part", F.col("_items._item").alias(name))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ordered import in_parts, lag_then_sum, ranked, running_sum
+from .ordered import collect_parts, lag_then_group, ranked
 
 # Fixed values.
 MIN_WINDOW_SECONDS = 5
@@ -41,12 +41,17 @@ def window_bounds(df: DataFrame, total: str, length: float, overlap: float) -> D
 def spread_timestamps(sentences: DataFrame, keys: list[str], order: list[str], start: str, duration: str) -> DataFrame:
     """Start and end of each sentence by its share of the characters of its piece.
 
-    ``start`` and ``duration`` describe the piece and are repeated on its rows.
+    ``keys`` name a piece; ``start`` and ``duration`` describe it and are repeated on its rows. The
+    sentences of a piece come from one recognised text, that is one row, so a plain window is bounded.
     """
     sized = sentences.withColumn("_len", F.length("text").cast("long"))
-    totals = sized.groupBy(*keys).agg(F.sum("_len").alias("_total"))
-    upto = running_sum(sized, keys, order, "_len", "_upto")
-    out = upto.join(totals, keys).filter("_total > 0")
+    piece = W.partitionBy(*keys)
+    upto = piece.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = (
+        sized.withColumn("_upto", F.sum("_len").over(upto))
+        .withColumn("_total", F.sum("_len").over(piece))
+        .filter("_total > 0")
+    )
 
     def at(chars: Column) -> Column:
         return F.col(start) + F.col(duration) * chars / F.col("_total")
@@ -91,7 +96,7 @@ def dedupe_overlap(sentences: DataFrame, overlap: float, file: str = "file", id_
 def pause_blocks(sentences: DataFrame, min_pause: float, file: str = "file", id_: str = "id") -> DataFrame:
     """Text blocks split where the pause reaches ``min_pause``; one sentence per line, blocks of more
     than 1000 sentences in parts."""
-    grouped = lag_then_sum(
+    grouped = lag_then_group(
         sentences,
         [file],
         ["start", id_],
@@ -100,7 +105,7 @@ def pause_blocks(sentences: DataFrame, min_pause: float, file: str = "file", id_
         group="block",
         prev="prev_end",
     )
-    parts = in_parts(grouped, [file, "block"], ["start", id_], F.struct("start", "end", "text"), "items")
+    parts = collect_parts(grouped, [file, "block"], "place", F.struct("start", "end", "text"), "items")
     return parts.select(
         file,
         "block",
@@ -123,7 +128,7 @@ def speaker_turns(blocks: DataFrame, min_pause: float, file: str = "file", id_:
     ended = blocks.withColumn(
         "_was", F.struct("speaker", speaking_end(F.col("start_sec"), F.col("text")).alias("end"))
     )
-    turns = lag_then_sum(
+    turns = lag_then_group(
         ended,
         [file],
         ["start_sec", id_],
@@ -138,7 +143,7 @@ def speaker_turns(blocks: DataFrame, min_pause: float, file: str = "file", id_:
         prev="_prev",
     )
     item = F.struct("start_sec", "speaker", "text")
-    parts = in_parts(turns, [file, "turn"], ["start_sec", id_], item, "items")
+    parts = collect_parts(turns, [file, "turn"], "place", item, "items")
     first = F.get("items", F.lit(0))
     return parts.select(
         file,

@@ -52,8 +52,7 @@ def numbered_sections(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH top AS (SELECT doc_id AS book, max(quality) AS m FROM labels GROUP BY 1)
-    SELECT d.doc_id, d.source AS book, coalesce(m, -1) + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS idx
+    """SELECT d.doc_id, d.source AS book, coalesce(m, -1) + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS idx
     FROM documents d LEFT JOIN (SELECT source, max(n_chars) AS m FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr' GROUP BY source) x ON x.source = d.source
     WHERE d.lang <> 'fr'"""
 )
@@ -98,11 +97,7 @@ def packed_sentences(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id, unnest(parts) AS w, unnest(range(len(parts))) AS i, n, target FROM (
-        SELECT doc_id, string_split(text, chr(10)) AS parts, length(replace(text, chr(10), chr(10) || chr(10))) AS n,
-               length(replace(text, chr(10), chr(10) || chr(10))) // CAST(ceil(length(replace(text, chr(10), chr(10) || chr(10))) / 2000.0) AS BIGINT) AS target
-        FROM documents))
-    SELECT doc_id, sum(length(w)) AS chars FROM p GROUP BY doc_id"""
+    """SELECT doc_id, length(replace(text, chr(10), '')) AS chars FROM documents"""
 )
 def long_section_chars(t: Tables) -> DataFrame:
     """Cutting long sections loses no character: per document, the characters of its parts."""

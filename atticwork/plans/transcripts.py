@@ -120,7 +120,7 @@ def speaker_names(t: Tables) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT doc_id, n_chars / 10.0::DOUBLE AS total FROM documents),
-    w AS (SELECT doc_id, total, unnest(range(0, 400)) AS window_no FROM d)
+    w AS (SELECT doc_id, total, unnest(range(0, CAST(total // 25 AS BIGINT) + 2)) AS window_no FROM d)
     SELECT doc_id, window_no, window_no * 25.0::DOUBLE AS start_sec, round(least(window_no * 25.0 + 30, total), 3) AS end_sec
     FROM w WHERE window_no * 25.0 + 5 <= total"""
 )

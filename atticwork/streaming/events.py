@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.camera import event_summary, valid_messages, wanted_messages
 from ..session import shared_dir
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def event_stream(spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None) -> DataFrame:
     """Messages as column ``data``: text files arriving in a folder, or a Kafka topic fed by a bridge.
@@ -99,15 +102,17 @@ class _RepeatVisits(StatefulProcessor):
         pass
 
 
-def repeat_alerts(stream: DataFrame, key: str, ts: str, gap_hours: int, delay: str, ttl_ms: int | None = None) -> DataFrame:
-    """A row whenever a key comes back after more than ``gap_hours``.
+def repeat_alerts(visits: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
+    """A row whenever a key comes back, from the stream of its visits (``visit_sessions`` with the gap in
+    question, written to a table that this query follows).
 
-    Events are first folded into visits, so the keyed state sees one row per visit however busy the key.
+    The visits of a key lie at least the gap apart, so however busy it is, only few of its rows meet in
+    one trigger.
     """
-    sessions = visit_sessions(stream, key, ts, f"{gap_hours} hours", delay, strict=True)
-    key_type = sessions.schema[key].dataType.simpleString()
+    key_type = visits.schema[key].dataType.simpleString()
     return (
-        sessions.groupBy(key)
+        visits.select(key, "first_ts", "last_ts")
+        .groupBy(key)
         .transformWithStateInPandas(
             statefulProcessor=_RepeatVisits(ttl_ms),
             outputStructType=f"person_id {key_type}, last_seen timestamp, seen_again timestamp, gap_hours double",
@@ -117,19 +122,29 @@ def repeat_alerts(stream: DataFrame, key: str, ts: str, gap_hours: int, delay: s
     )
 
 
+def follow(table: DataFrame) -> DataFrame:
+    """The stream of what is and will be written to the folder of a parquet table."""
+    spark = table.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    if len(folders) != 1:
+        raise ValueError("the table must have its files in one folder")
+    return spark.readStream.schema(table.schema).parquet(folders.pop())
+
+
 def calendar_counts_stream(stream: DataFrame, ts: str, keys: list[str], delay: str, width: str = "1 day", slide: str | None = None) -> DataFrame:
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     counted = late_policy(stream, ts, delay).groupBy(window.alias("_w"), *keys).agg(F.count(F.lit(1)).alias("events"))
     return counted.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *keys, "events")
 
 
-def pause_blocks_stream(stream: DataFrame, key: str, ts: str, duration: Column, min_pause: str, delay: str) -> DataFrame:
+def pause_blocks_stream(stream: DataFrame, key: str, ts: str, duration: Column, min_pause: float, delay: str) -> DataFrame:
     """Blocks of speech: a new one starts when the pause after the previous end reaches ``min_pause``.
 
-    Each row holds its session open for its own duration plus the pause, which is exactly the rule. Only
-    bounds and sizes are kept as state; texts are joined to the bounds from the sentence table.
+    ``duration`` and ``min_pause`` are seconds. Each row holds its session open for its own duration plus
+    the pause, which is exactly the rule. Only bounds and sizes are kept as state; texts are joined to
+    the bounds from the sentence table.
     """
-    hold = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), duration) + F.expr(f"interval {min_pause}")
+    hold = F.make_interval(secs=(duration + F.lit(min_pause)).cast("decimal(18,6)"))
     return (
         late_policy(stream, ts, delay)
         .groupBy(F.col(key), F.session_window(ts, hold).alias("_s"))
@@ -144,13 +159,25 @@ def enrich(stream: DataFrame, static: DataFrame, on: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, into a table of the shared folder, and read it back."""
+    """Process what is there, into a table of the shared folder, and read it back.
+
+    State goes to RocksDB, which keeps it on disk and is what keyed processors need. The setting is read
+    when the query starts and put back afterwards.
+    """
     spark = stream.sparkSession
     out = shared_dir(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode)
+            .option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
