@@ -18,7 +18,7 @@ MEDIA_MARKERS = ["/media/frigate", "clips", "thumb", "thumb_path", "clip"]
 
 
 def _key(name: str) -> str:
-    return rf'(?<!\\)"{name}"\s*:\s*'
+    return rf'"{name}"\s*:\s*'
 
 
 def first_string(payload: Column | str, name: str) -> Column:
@@ -32,7 +32,7 @@ def first_scalar(payload: Column | str, name: str, skip_null: bool = False) -> C
     A null value gives null, or is passed over with ``skip_null``."""
     guard = r"(?!null\b)" if skip_null else ""
     value = F.regexp_extract(payload, f"{_key(name)}{guard}({_STRING}|{_SCALAR})", 1)
-    bare = F.regexp_extract(value, '^"(.*)"$', 1)
+    bare = F.substring(value, F.lit(2), F.length(value) - 2)
     return F.when(value.startswith('"'), bare).when((value != "") & (value != "null"), value)
 
 
@@ -52,7 +52,7 @@ def has_token(payload: Column | str, words: list[str]) -> Column:
     """Any of the words occurs as a complete quoted token. Arrays named ``objects`` and ``label`` values
     are such tokens, so this one test covers all the places a label may be in."""
     text = F.col(payload) if isinstance(payload, str) else payload
-    return text.rlike(r'(?<!\\)"(?:' + "|".join(words) + r')(?<!\\)"')
+    return text.rlike('"(?:' + "|".join(words) + ')"')
 
 
 def _object_with_key(keys: list[str], depth: int = 4) -> str:

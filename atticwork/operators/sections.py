@@ -90,9 +90,10 @@ def build_section_index(chunks: DataFrame, embed: Callable[[Column], Column]) ->
     names = chunks.filter("section <> ''").select("source", "section").distinct()
     clean = t.embedding_text("section")
     text = F.when(clean != "", clean).otherwise(F.col("section"))
-    return names.withColumn("embedding", embed(text)).filter(
-        F.col("embedding").isNotNull() & ~vectors.has_nan("embedding")
-    )
+    # Exploding a list of one keeps the optimizer from copying the text expression into every use of it.
+    texts = names.select("source", "section", F.explode(F.array(text)).alias("_text"))
+    embedded = texts.withColumn("embedding", embed(F.col("_text"))).drop("_text")
+    return embedded.filter(F.col("embedding").isNotNull() & ~vectors.has_nan("embedding"))
 
 
 def semantic_sections(
