@@ -38,12 +38,12 @@ _VISITS = """
     g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev {op} INTERVAL {gap} THEN 1 ELSE 0 END)
                  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM d),
     v AS (SELECT user_id, g, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM g GROUP BY ALL),
-    closed AS (SELECT * FROM v WHERE last_ts + INTERVAL {gap} {edge} (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+    closed AS (SELECT * FROM v WHERE last_ts + INTERVAL {gap} - to_microseconds({less}) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
 """
 
 
 @query(
-    _VISITS.format(op=">", gap="1 HOUR", edge="<")
+    _VISITS.format(op=">", gap="1 HOUR", less=0)
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, events FROM closed"
 )
 def streamed_visits(t: Tables) -> DataFrame:
@@ -53,7 +53,7 @@ def streamed_visits(t: Tables) -> DataFrame:
 
 
 @query(
-    _VISITS.format(op=">=", gap="1 HOUR", edge="<=")
+    _VISITS.format(op=">=", gap="1 HOUR", less=1)
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, events FROM closed"
 )
 def streamed_visits_from_gap_on(t: Tables) -> DataFrame:
@@ -63,7 +63,7 @@ def streamed_visits_from_gap_on(t: Tables) -> DataFrame:
 
 
 @query(
-    _VISITS.format(op=">", gap="24 HOUR", edge="<")
+    _VISITS.format(op=">", gap="24 HOUR", less=0)
     + """, a AS (SELECT user_id AS person_id, lag(last_ts) OVER (PARTITION BY user_id ORDER BY first_ts) AS last_seen, first_ts AS seen_again FROM closed)
     SELECT person_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(seen_again, '%Y-%m-%d %H:%M:%S') AS seen_again,
     round(date_diff('microsecond', last_seen, seen_again) / 3600000000.0, 3) AS gap_hours FROM a WHERE last_seen IS NOT NULL"""
@@ -121,9 +121,9 @@ def streamed_enrichment(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT user_id, event_id, ts, to_microseconds(CAST(1000000 * floor(value) AS BIGINT)) + INTERVAL 30 MINUTE AS hold FROM events),
+    """WITH d AS (SELECT user_id, event_id, ts, to_microseconds(CAST(1000000 * floor(value) AS BIGINT)) + INTERVAL 30 MINUTE - to_microseconds(1) AS hold FROM events),
     e AS (SELECT *, max(ts + hold) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM d),
-    g AS (SELECT *, sum(CASE WHEN until IS NULL OR ts >= until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
+    g AS (SELECT *, sum(CASE WHEN until IS NULL OR ts > until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
     v AS (SELECT user_id, b, min(ts) AS block_start, count(*) AS sentences, max(ts + hold) AS until FROM g GROUP BY ALL)
     SELECT user_id, strftime(block_start, '%Y-%m-%d %H:%M:%S') AS block_start, sentences FROM v
     WHERE until <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""

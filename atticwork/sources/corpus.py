@@ -19,11 +19,8 @@ def read_corpus(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame
     Unreadable files are skipped; bytes that are not UTF-8 become replacement characters.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", True)
-        .text(path)
+        spark.read.option("ignoreCorruptFiles", True)
+        .text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
     )
 

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.files import select_media
 
 
-def list_media(
-    spark: SparkSession, dirs: list[str], min_size: int = 0, max_size: int = 0, skip_hidden: bool = True
-) -> DataFrame:
+def list_media(spark: SparkSession, dirs: list[str], min_size: int = 0, max_size: int = 0) -> DataFrame:
     """Media files below the folders: ``path, size, mtime``. Contents are not read, as the column is
-    pruned from the scan."""
-    parts = []
-    for folder in dirs:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-            .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-        )
-        root = folder if ":" in folder else f"file:{folder}"
-        parts.append(select_media(files, None, min_size, max_size, skip_hidden, root))
-    return reduce(DataFrame.unionByName, parts)
+    pruned from the scan.
+
+    Spark's file scan never shows names that start with a dot or an underscore, so hidden files are
+    always skipped here. To have them, make the listing elsewhere and use ``select_media`` on it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(dirs)
+    listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return select_media(listed, None, min_size, max_size, skip_hidden=False)
 
 
 def read_contents(spark: SparkSession, dirs: list[str]) -> DataFrame:
@@ -39,9 +33,7 @@ def nested_timestamp(json: Column | str, name: str) -> Column:
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """JSON sidecars with creation and photo-taken time in epoch seconds, null where absent."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    )
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         nested_timestamp("value", "creationTime").alias("created"),

@@ -58,9 +58,9 @@ def ingest_stream(stream: DataFrame, key: list[str], ts: str, delay: str) -> Dat
 
 
 def _session_gap(gap: str, strict: bool) -> str:
-    # A session is split from a distance equal to its gap on. One microsecond more, the finest step of
-    # a timestamp, makes that "above the gap".
-    return f"{gap} 1 microsecond" if strict else gap
+    # Sessions that touch are merged: a distance equal to the gap does not split. To make it split, the
+    # gap is shortened by one microsecond, the finest step of a timestamp.
+    return gap if strict else f"{gap} -1 microsecond"
 
 
 def visit_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str, strict: bool = True) -> DataFrame:
@@ -144,7 +144,8 @@ def pause_blocks_stream(stream: DataFrame, key: str, ts: str, duration: Column,
     the pause, which is exactly the rule. Only bounds and sizes are kept as state; texts are joined to
     the bounds from the sentence table.
     """
-    hold = F.make_interval(secs=(duration + F.lit(min_pause)).cast("decimal(18,6)"))
+    # One microsecond less, since blocks that touch would be merged.
+    hold = F.make_interval(secs=(duration + F.lit(min_pause)).cast("decimal(18,6)") - F.lit("0.000001").cast("decimal(18,6)"))
     return (
         late_policy(stream, ts, delay)
         .groupBy(F.col(key), F.session_window(ts, hold).alias("_s"))
