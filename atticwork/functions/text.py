@@ -97,12 +97,13 @@ VALUABLE = "|".join(
 def is_embeddable(col: Column | str) -> Column:
     """Long enough, not only symbols, and either letters or a recognisable technical value."""
     text = strip(col)
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    alphanumerics = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]"))
+    # Runs of other characters are removed at once, which is cheaper than counting letters one by one;
+    # the patterns are only tried where the letters do not decide.
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return (
         (F.length(text) >= MIN_CHUNK_CHARS)
-        & (alphanumerics >= MIN_ALPHANUMERICS)
-        & (text.rlike(f"(?iuU)(?:{VALUABLE})") | (letters >= MIN_LETTER_RATIO * F.length(text)))
+        & text.rlike(rf"(?s)(?:[\p{{L}}\p{{N}}].*?){{{MIN_ALPHANUMERICS}}}")
+        & ((letters >= MIN_LETTER_RATIO * F.length(text)) | text.rlike(f"(?iuU)(?:{VALUABLE})"))
     )
 
 

@@ -44,8 +44,12 @@ def same_path_duplicates(assets: DataFrame, key: str, path: str, id_: str) -> Da
 
 
 def delete_same_path(assets: DataFrame, key: str, path: str, id_: str) -> DataFrame:
-    """The asset table without its same-path duplicates."""
-    victims = same_path_duplicates(assets, key, path, id_).select(id_)
+    """The asset table without its same-path duplicates.
+
+    Only the first row of each path has to be known, which takes an aggregate and no ranking."""
+    copies = duplicate_rows(assets.select(id_, key, path), key).select(id_, path)
+    firsts = copies.groupBy(path).agg(F.min(id_).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    victims = copies.join(firsts, path).filter(F.col(id_) != F.col("_first")).select(id_)
     return assets.join(victims, id_, "left_anti")
 
 
@@ -62,10 +66,15 @@ def trash_duplicates(
     id_: str = "id",
 ) -> DataFrame:
     """Soft delete: every active copy but the first one, if it lies under ``prefix``, becomes trashed."""
-    copies = rank_copies(active_assets(assets).select(id_, key, path), key, [path, id_])
-    victims = copies.filter((F.col("row_num") > 1) & F.col(path).startswith(prefix)).select(
-        id_, F.lit(True).alias("_victim")
+    active = active_assets(assets).select(id_, key, path).filter(F.col(key).isNotNull())
+    firsts = (
+        active.groupBy(key)
+        .agg(F.min(F.struct(path, id_)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+        .select(key, F.col(f"_first.{id_}").alias("_first_id"))
     )
+    under = active.filter(F.col(path).startswith(prefix))
+    victims = under.join(firsts, key).filter(F.col(id_) != F.col("_first_id")).select(id_, F.lit(True).alias("_victim"))
     hit = F.coalesce(F.col("_victim"), F.lit(False))
     return (
         assets.join(victims, id_, "left")

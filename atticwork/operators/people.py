@@ -16,7 +16,7 @@ from .paging import top_per_key
 
 
 def person_stats(persons: DataFrame, faces: DataFrame) -> DataFrame:
-    """One row of totals. Two single-row aggregates are put side by side."""
+    """One row of totals: two single-row aggregates, stacked and folded into one row."""
     named = F.col("name").isNotNull() & (F.col("name") != "")
     p = persons.agg(F.count_if(named).alias("named_persons"), F.count(F.lit(1)).alias("total_persons"))
     f = faces.agg(
@@ -24,7 +24,8 @@ def person_stats(persons: DataFrame, faces: DataFrame) -> DataFrame:
         F.count_distinct("asset_id").alias("assets_with_faces"),
         F.count_if(F.col("person_id").isNull()).alias("unassigned_faces"),
     )
-    return p.withColumn("_one", F.lit(1)).join(f.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = p.unionByName(f, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def face_counts(faces: DataFrame) -> DataFrame:
@@ -87,18 +88,15 @@ def merge_persons(faces: DataFrame, source: int | str, target: int | str) -> Dat
 
 def merge_record(persons: DataFrame, faces: DataFrame, source: int | str, target: int | str, at: Column) -> DataFrame:
     """The audit row of a merge; no row when one of the two persons does not exist."""
-    moved = faces.filter(F.col("person_id") == source).agg(F.count("id").alias("face_count_moved"))
-    pair = persons.filter(F.col("id").isin(source, target)).agg(
-        F.max(F.when(F.col("id") == source, F.struct("id", "name"))).alias("s"),
-        F.max(F.when(F.col("id") == target, F.struct("id", "name"))).alias("t"),
-    ).filter("s is not null and t is not null")
-    return (
-        pair.withColumn("_one", F.lit(1)).join(moved.withColumn("_one", F.lit(1)), "_one")
-        .select(
-            F.col("s.id").alias("source_person_id"), F.col("t.id").alias("target_person_id"),
-            F.col("s.name").alias("source_person_name"), F.col("t.name").alias("target_person_name"),
-            "face_count_moved", at.alias("merged_at"),
-        )
+    one = lambda id_: F.max(F.when(F.col("id") == id_, F.struct("id", "name")))
+    pair = persons.filter(F.col("id").isin(source, target)).agg(one(source).alias("s"), one(target).alias("t"))
+    moved = faces.filter(F.col("person_id") == source).agg(F.count("id").alias("moved"))
+    both = pair.unionByName(moved, allowMissingColumns=True)
+    folded = both.agg(F.max("s").alias("s"), F.max("t").alias("t"), F.max("moved").alias("face_count_moved"))
+    return folded.filter("s is not null and t is not null").select(
+        F.col("s.id").alias("source_person_id"), F.col("t.id").alias("target_person_id"),
+        F.col("s.name").alias("source_person_name"), F.col("t.name").alias("target_person_name"),
+        "face_count_moved", at.alias("merged_at"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators.chunking import chunk_markdown, valid_chunks
 from ..operators.nearest import embed
+from ..operators.search import stored_chunks
 from ..operators.sections import build_section_index
 
 
@@ -40,16 +41,14 @@ def reindex(
 ) -> None:
     """Rebuild the chunk table and its section-name index from a corpus.
 
-    Chunks are made distinct and embedded once, at write time, and sorted by source so that a source
-    filter skips row groups. ``section_vector`` maps the section text Column to its vector Column.
+    Chunks are made distinct and embedded once, at write time. They are laid out by source and line
+    before the embedding step, so that a source filter skips row groups later and nothing after the
+    expensive step needs a shuffle. ``section_vector`` maps the section text Column to its vector Column.
     """
-    chunks = valid_chunks(chunk_markdown(corpus, size, overlap))
-    keys = ["source", "section", "chunk_type", "content"]
-    stored = chunks.dropDuplicates(keys).withColumn("_text", t.embedding_text("content"))
-    rows = with_row_id(embed(stored, "_text", embed_fn).drop("_text"))
-    rows.repartitionByRange("source", "line_start").sortWithinPartitions("source", "line_start").write.mode(
-        "overwrite"
-    ).saveAsTable(table)
+    chunks = stored_chunks(valid_chunks(chunk_markdown(corpus, size, overlap)))
+    laid_out = chunks.repartitionByRange("source", "line_start").sortWithinPartitions("source", "line_start")
+    embedded = embed(laid_out.withColumn("_text", t.embedding_text("content")), "_text", embed_fn).drop("_text")
+    with_row_id(embedded).write.mode("overwrite").saveAsTable(table)
     build_section_index(spark.table(table), section_vector).write.mode("overwrite").saveAsTable(f"{table}_sections")
 
 

@@ -16,8 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.camera import event_summary, valid_messages, wanted_messages
 from ..session import shared_dir
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Set while a query starts: state on disk, and visits merged within a task before they are shuffled.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def event_stream(spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None) -> DataFrame:
@@ -67,7 +70,7 @@ def visit_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str, s
     """Visits per key with start, last event and size.
 
     Built-in session windows keep one merged row per open visit, and events of a visit are merged
-    before the shuffle when ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is on.
+    before the shuffle under the settings of ``run_available``.
     """
     return (
         late_policy(stream, ts, delay)
@@ -162,14 +165,15 @@ def enrich(stream: DataFrame, static: DataFrame, on: str) -> DataFrame:
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there, into a table of the shared folder, and read it back.
 
-    State goes to RocksDB, which keeps it on disk and is what keyed processors need. The setting is read
-    when the query starts and put back afterwards.
+    State goes to RocksDB, which keeps it on disk and is what keyed processors need. The settings are
+    read when the query starts and put back afterwards.
     """
     spark = stream.sparkSession
     out = shared_dir(spark, name)
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STREAM_CONF}
     try:
+        for key, value in STREAM_CONF.items():
+            spark.conf.set(key, value)
         query = (
             stream.writeStream.format("parquet").outputMode(mode)
             .option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
@@ -177,8 +181,6 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")

@@ -106,6 +106,6 @@ def test_dedup_is_idempotent(rows, split_everything):
 def test_split_choice_does_not_change_results(rows, monkeypatch):
     plain = sorted(map(str, ordered.ranked(rows, ["k"], ["id"]).select("id", "row_num").collect()))
     monkeypatch.setattr(ordered, "THIN", 1)
-    for points in (16, 64, 256):
+    for points in (16, 64, 4096):
         monkeypatch.setattr(ordered, "POINTS", points)
         assert plain == sorted(map(str, ordered.ranked(rows, ["k"], ["id"]).select("id", "row_num").collect()))
