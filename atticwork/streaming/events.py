@@ -165,14 +165,15 @@ def enrich(stream: DataFrame, static: DataFrame, on: str) -> DataFrame:
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there, into a table of the shared folder, and read it back.
 
-    State goes to RocksDB, which keeps it on disk and is what keyed processors need. The settings are
-    read when the query starts and put back afterwards.
+    State goes to RocksDB, which keeps it on disk and is what keyed processors need, in as many partitions
+    as the cluster has cores. The settings are read when the query starts and put back afterwards.
     """
     spark = stream.sparkSession
     out = shared_dir(spark, name)
-    before = {key: spark.conf.get(key, None) for key in STREAM_CONF}
+    wanted = {**STREAM_CONF, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
-        for key, value in STREAM_CONF.items():
+        for key, value in wanted.items():
             spark.conf.set(key, value)
         query = (
             stream.writeStream.format("parquet").outputMode(mode)
