@@ -68,8 +68,26 @@ def exchange_header(accounts: DataFrame, sender: str, receiver: str) -> DataFram
     return accounts.select("account_id").distinct().withColumn("record", block)
 
 
-def write_exchange(transactions: DataFrame, owner: dict[str, str], sender: str, receiver: str, path: str, order: list[str]) -> None:
-    """Text files per account: header, then the records in order, written in parallel.
+def windows_1251(text: Column) -> Column:
+    """Text whose bytes are those of the Windows Cyrillic code page, for a sink that writes bytes as they
+    are. Characters the page does not have become question marks.
+
+    The upper half of the page is moved onto the code points of the same numbers, which Latin-1 then
+    writes as single bytes.
+    """
+    upper = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(0x80, 0x100)]
+    known = "".join(c for c, _ in upper)
+    moved = "".join(m for c, m in upper if c)
+    single = F.regexp_replace(text, rf"[^\x00-\x7f{known}]", "?")
+    return F.encode(F.translate(single, known, moved), "ISO-8859-1").cast("string")
+
+
+def write_exchange(
+    transactions: DataFrame, owner: dict[str, str], sender: str, receiver: str, path: str, order: list[str],
+    windows: bool = False,
+) -> None:
+    """Text files per account: header, then the records in order, written in parallel; UTF-8, or the
+    Windows code page the format was made for.
 
     Range partitioning by (account, position) keeps one large account from being one task; the files of
     an account sort in order by name.
@@ -82,4 +100,5 @@ def write_exchange(transactions: DataFrame, owner: dict[str, str], sender: str,
     )
     keys = ["account_id", "_kind", *order]
     rows = heads.unionByName(records).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows.select("account_id", "value").write.mode("overwrite").partitionBy("account_id").text(path)
+    value = windows_1251(F.col("value")).alias("value") if windows else F.col("value")
+    rows.select("account_id", value).write.mode("overwrite").partitionBy("account_id").text(path)

@@ -52,11 +52,10 @@ def upserted_cache(t: Tables) -> DataFrame:
     return f.upsert_cache(cache, t.labels.select(F.col("doc_id").alias("path"), F.lit("new").alias("hash")))
 
 
-@query("SELECT doc_id, md5(left(text, 64)) AS hash FROM documents WHERE NOT regexp_matches(left(text, 64), '[^\\x00-\\x7f]')")
+@query("SELECT doc_id, md5(encode(text)[1:4096]) AS hash FROM documents")
 def prefix_hashes(t: Tables) -> DataFrame:
-    """Digest of the first 64 bytes, for documents that start in ASCII."""
-    own = t.documents.filter(~F.left("text", F.lit(64)).rlike(r"[^\x00-\x7f]"))
-    return own.select("doc_id", f.content_hash(F.encode("text", "utf-8"), 64).alias("hash"))
+    """Digest of the first 4096 bytes, the option for files that are too large to read whole."""
+    return t.documents.select("doc_id", f.content_hash(F.encode("text", "utf-8"), 4096).alias("hash"))
 
 
 @query(

@@ -167,6 +167,16 @@ def test_statement_to_exchange_files(spark, tmp_path):
         assert [line for line in body.split("\n") if line.startswith("Номер=")] == ["Номер=11", "Номер=12", "Номер="]
 
 
+def test_exchange_in_the_windows_code_page(spark, tmp_path):
+    write(tmp_path / "in" / "1.xml", STATEMENT.format(acc="A1"))
+    rows = statement_source.read_statements(spark, str(tmp_path / "in")).withColumn("NAME", F.lit("Ёлка № 5 «ж» é 漢"))
+    statements.write_exchange(rows, OWNER, "Us", "Them", str(tmp_path / "out"), ["position"], windows=True)
+    folder = tmp_path / "out" / "account_id=A1"
+    body = b"".join((folder / n).read_bytes() for n in sorted(os.listdir(folder)) if n.startswith("part-"))
+    text_ = body.decode("cp1251")
+    assert "НазначениеПлатежа=Ёлка № 5 «ж» ? ?\n" in text_ and text_.count("СекцияДокумент=Платежное поручение") == 3
+
+
 def test_corpus_scan_and_reindex(spark, tmp_path):
     write(tmp_path / "a.md", "# Первый\n\nДостаточно длинный текст для индекса.\n\nshort\n")
     write(tmp_path / "sub" / "b.md", b"# Second\n\nbroken \xff bytes but long enough text\n")
