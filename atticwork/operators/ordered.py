@@ -30,7 +30,8 @@ HOT_POINTS = 4
 # One row in THIN takes part in choosing split points; a table too small to yield any needs none.
 THIN = 64
 
-_STEPS = [2**n for n in range(13, -1, -1)]
+# Split points are looked up in two levels, so that a row meets two short lists and not one long one.
+_CHUNK = 96
 
 
 def _attach(df: DataFrame, small: DataFrame, names: list[str]) -> DataFrame:
@@ -42,8 +43,21 @@ def _attach(df: DataFrame, small: DataFrame, names: list[str]) -> DataFrame:
     return df.join(F.broadcast(renamed), on, "left").drop(*[f"_r_{n}" for n in names])
 
 
-def with_segments(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``_hot`` and ``_seg``: an order-preserving cut of the rows of every hot key."""
+def _count_up_to(df: DataFrame, points: str, here: str, most: int, name: str) -> DataFrame:
+    """Add how many members of a sorted list of at most ``most`` lie at or before ``here``.
+
+    The steps of the binary search are plain columns, each built on the one before, so that they are
+    compiled; a lambda would be interpreted row by row.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for step in [2**n for n in range(most.bit_length() - 1, -1, -1)]:
+        beyond = F.get(F.col(points), F.col(name) + (step - 1)) <= F.col(here)
+        df = df.withColumn(name, F.col(name) + F.when(beyond, step).otherwise(0))
+    return df
+
+
+def _split_points(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Sorted split points per hot key, at most ``POINTS`` in all."""
     mark = F.xxhash64(*keys, *order)
     picks = (
         df.select(*keys, F.struct(*order).alias("_o"), mark.alias("_h"))
@@ -51,25 +65,29 @@ def with_segments(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         .groupBy(F.pmod("_h", F.lit(POINTS)).alias("_b"))
         .agg(F.min(F.struct("_h", *keys, "_o")).alias("_p"))
     )
-    splits = (
+    return (
         picks.select(*[F.col(f"_p.{k}").alias(k) for k in keys], F.col("_p._o").alias("_o"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_o")).alias("_splits"))
         .filter(F.size("_splits") >= HOT_POINTS)
     )
-    here = F.struct(*order)
-    # Binary search over the sorted split points: how many of them lie at or before this row.
-    seg = F.aggregate(
-        F.array(*[F.lit(s) for s in _STEPS]),
-        F.lit(0),
-        lambda pos, step: F.when(F.get(F.col("_splits"), pos + step - 1) <= here, pos + step).otherwise(pos),
-    )
-    return (
-        _attach(df, splits, keys)
-        .withColumn("_hot", F.col("_splits").isNotNull())
-        .withColumn("_seg", F.when(F.col("_hot"), seg).otherwise(F.lit(0)))
-        .drop("_splits")
+
+
+def with_segments(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``_hot`` and ``_seg``: an order-preserving cut of the rows of every hot key."""
+    splits = _split_points(df, keys, order)
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_splits") - 1) / _CHUNK).cast("int"))
+    coarse = splits.select(*keys, F.transform(chunks, lambda i: F.get("_splits", i * _CHUNK)).alias("_coarse"))
+    fine = splits.select(
+        *keys, F.posexplode(F.transform(chunks, lambda i: F.slice("_splits", i * _CHUNK + 1, _CHUNK))).alias("_chunk", "_fine")
     )
+    placed = _attach(df.withColumn("_here", F.struct(*order)), coarse, keys).withColumn("_hot", F.col("_coarse").isNotNull())
+    placed = _count_up_to(placed, "_coarse", "_here", POINTS // _CHUNK + 1, "_before").drop("_coarse")
+    placed = placed.withColumn("_chunk", F.when(F.col("_hot"), F.col("_before") - 1))
+    within = _attach(placed, fine, [*keys, "_chunk"])
+    within = _count_up_to(within, "_fine", "_here", _CHUNK, "_inside")
+    seg = F.when(F.col("_fine").isNotNull(), F.col("_chunk") * _CHUNK + F.col("_inside")).otherwise(F.lit(0))
+    return within.withColumn("_seg", seg).drop("_fine", "_chunk", "_before", "_inside", "_here")
 
 
 def _window(keys: list[str], order: list[str]):
