@@ -83,12 +83,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray, tail: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes of the spans and, for tail > 0, of their last `tail` bytes."""
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
-        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+        def hashed(a: np.ndarray) -> np.ndarray:
+            return mix64((sums[end] - sums[a]) * down[a] + (end - a).astype(np.uint64))
+
+        return hashed(start), hashed(np.maximum(start, end - tail)) if tail else None
 
 
 def _word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +108,7 @@ def _word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _long_words(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _long_words(data: np.ndarray, codes: np.ndarray, tail: int) -> tuple[np.ndarray, np.ndarray | None]:
     """Word hashes of one long text, window by window; each window ends at white space or at the end."""
     found, at = [], 0
     while at < len(data):
@@ -116,9 +121,9 @@ def _long_words(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
             to = min(len(data), to + BLOCK)
         part = data[at:to]
         start, end = _word_spans(part, np.array([0, len(part)]))
-        found.append(_hash_spans(part, start, end, codes))
+        found.append(_hash_spans(part, start, end, codes, tail))
         at = to
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]) if tail else None
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +135,13 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_blocks(batch: pa.RecordBatch, text: str, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word offsets per row, word hashes) for runs of rows of about BLOCK bytes of text.
+    """(first row, end row, word offsets per row, word hashes) for runs of rows of about BLOCK bytes of text."""
+    for at, to, offsets, hashes, _ in tailed_blocks(batch, text, 0, fold):
+        yield at, to, offsets, hashes
+
+
+def tailed_blocks(batch: pa.RecordBatch, text: str, tail: int, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """As word_blocks, with the hashes of the words' last `tail` bytes.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; with fold, A-Z count as a-z. Null and empty texts have no words. Texts
     longer than a block are read whole, window by window.
@@ -144,11 +155,11 @@ def word_blocks(batch: pa.RecordBatch, text: str, fold: bool = True) -> Iterator
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, side="right")) - 1)
         part, own = data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         if len(part) > BLOCK:
-            hashes = _long_words(part, codes)
-            yield at, to, np.array([0, len(hashes)], dtype=np.int64), hashes
+            hashes, tails = _long_words(part, codes, tail)
+            yield at, to, np.array([0, len(hashes)], dtype=np.int64), hashes, tails
         else:
             start, end = _word_spans(part, own)
-            yield at, to, np.searchsorted(start, own), _hash_spans(part, start, end, codes)
+            yield at, to, np.searchsorted(start, own), *_hash_spans(part, start, end, codes, tail)
         at = to
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, ngram_join, packing, quality
+from . import class_lm, cover_tree, cross_polytope, line_dedup, mixing, ngram_join, packing, quality
 from .common import table
 
 
+def op1_cover_tree(spark: SparkSession, directory: str) -> DataFrame:
+    return cover_tree.query(table(spark, directory, "embeddings"))
+
+
 def op2_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return ngram_join.query(table(spark, directory, "documents"))
 
@@ -24,9 +28,21 @@ def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.query(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+def op7_class_lm(spark: SparkSession, directory: str) -> DataFrame:
+    return class_lm.query(table(spark, directory, "documents"))
+
+
 def op8_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.query(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_line_dedup, op4_best_fit_packing, op5_quality, op8_mixing)}
-SQL = {"op3_line_dedup": line_dedup.ORACLE}
+def op10_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
+    return cross_polytope.query(table(spark, directory, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_cover_tree, op2_ngram_join, op3_line_dedup, op4_best_fit_packing, op5_quality, op7_class_lm, op8_mixing, op10_cross_polytope)
+}
+#: The others cannot be written in SQL; tests hold them against brute force, round trips or held-out rows.
+SQL = {"op1_cover_tree": cover_tree.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
