@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, cover_tree, cross_polytope, line_dedup, mixing, ngram_join, packing, quality
+from . import chaining, class_lm, cover_tree, cross_polytope, line_dedup, mixing, ngram_join, packing, quality, secrets_forest
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.query(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return secrets_forest.query(table(spark, directory, "documents"))
+
+
 def op7_class_lm(spark: SparkSession, directory: str) -> DataFrame:
     return class_lm.query(table(spark, directory, "documents"))
 
@@ -36,13 +40,20 @@ def op8_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.query(table(spark, directory, "documents"))
 
 
+def op9_substring_chaining(spark: SparkSession, directory: str) -> DataFrame:
+    return chaining.query(table(spark, directory, "documents"))
+
+
 def op10_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
     return cross_polytope.query(table(spark, directory, "embeddings"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_cover_tree, op2_ngram_join, op3_line_dedup, op4_best_fit_packing, op5_quality, op7_class_lm, op8_mixing, op10_cross_polytope)
+    for f in (
+        op1_cover_tree, op2_ngram_join, op3_line_dedup, op4_best_fit_packing, op5_quality,
+        op6_secret_scan, op7_class_lm, op8_mixing, op9_substring_chaining, op10_cross_polytope,
+    )
 }
 #: The others cannot be written in SQL; tests hold them against brute force, round trips or held-out rows.
 SQL = {"op1_cover_tree": cover_tree.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
