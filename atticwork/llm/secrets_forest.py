@@ -36,7 +36,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, path, start, value, rule, before, after) for every candidate of each whole text.
 
     ``start`` counts code points from 0. The rule is assigned (the value follows a credential word and a sign of
-    assignment) or long (20 characters or more, with a digit). before and after hold up to CONTEXT characters.
+    assignment) or long (20 characters or more). before and after hold up to CONTEXT characters.
     """
     found = docs.select(
         F.col(id_col).alias("doc_id"), (F.col(path_col) if path_col else F.lit(None).cast("string")).alias("path"), F.col(text_col).alias("text")
@@ -63,7 +63,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule = F.when(F.col("lead") != "", F.lit("assigned")).otherwise(F.lit("long"))
     return rows.select(
         "doc_id", "path", (F.col("at") + F.char_length("lead")).cast("long").alias("start"), "value", rule.alias("rule"), F.concat("gap", "lead").alias("before"), "after"
-    ).where((F.col("rule") == "assigned") | F.col("value").rlike("[0-9]"))
+    )
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", bound: int = DICTIONARY_WORDS) -> DataFrame:
