@@ -8,43 +8,34 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step: every node ties its larger (large) or its smaller neighbours (small) to its least neighbour.
+def _large(links: DataFrame) -> DataFrame:
+    """Every node ties its larger neighbours to its least neighbour (or to itself)."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    return both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    The least neighbours are a table of their own, one row per node, so that a node with very many links is
-    split by the skewed join and its minimum is combined before the shuffle.
-    """
-    if large:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
-    joined = both.join(least, "a")
-    if large:
-        moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-    return written(moved.where("a <> b").distinct(), "star-links")
+
+def _small(links: DataFrame) -> DataFrame:
+    """Every node ties itself and its smaller neighbours to the least of them; links run from larger to smaller."""
+    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+    moved = links.join(least, links["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the least node that can be reached.
 
-    Links are longs without nulls; loops and repeats do no harm, an empty table gives an empty result. The
-    number of rounds grows with the logarithm of the number of links. Each round is a written table.
+    Links are longs without nulls; loops and repeats do no harm, an empty table gives an empty result. Minima
+    are combined before the shuffle, so a node with very many links costs each task one row there. The number of
+    rounds grows with the logarithm of the number of links. Each half round is a written table. It ends when every
+    link leads to a node that has no smaller one.
     """
     links = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
     while True:
-        links = _star(_star(links, True), False)
-        seen = links.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")
-        ).first()
-        if seen == before:
+        links = written(_small(written(_large(links), "star-large")), "star-small")
+        inner = links.select(F.col("b").alias("x")).join(links.select(F.col("a").alias("y")), F.col("x") == F.col("y"), "left_semi")
+        if inner.isEmpty():
             break
-        before = seen
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

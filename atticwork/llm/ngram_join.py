@@ -13,7 +13,7 @@ from .common import mix64, partitions_for, per_batch, record, shingles, word_blo
 from .components import components
 
 #: Rounds in which each prefix n-gram offers only one partner; groups of near copies become one component there.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 GROUP_SHINGLES = 2_500_000
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 _POSTED = pa.schema([("part", pa.int32()), ("sids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
@@ -211,15 +211,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(per_batch(check, schema), "a long, b long")
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) that pass the length and positional filters; pairs has sizes na, nb and prefix places ia, ib.
+def _possible(percent: int) -> Column:
+    """Length, positional and shared-count filters for two prefix places a and b of one n-gram.
 
-    The least places are those of the first common n-gram, as both prefixes follow the same order.
+    No more than the n-grams from the first common place on can overlap, nor those that any other set has. A pair that
+    links passes at its first common n-gram, so rows can be judged one by one.
     """
-    near = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    first = near.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
     least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    return first.where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least).select("a", "b")
+    length = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return length & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"), F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= least)
+
+
+def _side(name: str) -> list[Column]:
+    return [F.col("sid").alias(name), F.col("n").alias(f"n{name}"), F.col("i").alias(f"i{name}"), F.col("skip").alias(f"k{name}"), F.col("c").alias(f"c{name}")]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,39 +248,21 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = written(candidate_sets(docs, words, percent, total, text_col), "candidate-sets")
     posts = written(
         sets.select("sid", "n", "skip", F.posexplode("prefix").alias("i", "key")).select(
-            "key", "sid", "n", (F.col("i") + F.col("skip")).alias("i")
+            "key", "sid", "n", "skip", (F.col("i") + F.col("skip")).alias("i")
         ),
         "prefixes",
     )
     links, labels = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        if labels is not None:
-            posts_now = written(
-                posts.join(labels, posts["sid"] == labels["node"], "left").select(
-                    "key", "sid", "n", "i", F.coalesce("component", "sid").alias("c")
-                ),
-                "labelled",
-            )
+        if labels is None:
+            now = posts.withColumn("c", F.col("sid"))
         else:
-            posts_now = posts.withColumn("c", F.col("sid"))
-        offer = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "sid", "n", "i")
-        keys = posts_now.groupBy("key").agg(
-            F.min("c").alias("low"), F.max("c").alias("high"), F.min(offer).alias("lead")
-        ).where("low <> high").select("key", "lead")
-        keys = written(keys, "leaders")
-        lead = keys.select("key", F.col("lead.c").alias("lc"), F.col("lead.sid").alias("ls"), F.col("lead.n").alias("ln"), F.col("lead.i").alias("li"))
-        if turn < LEADER_ROUNDS:
-            offered = posts_now.join(lead, "key").where("c <> lc")
-            pairs = offered.select(
-                F.least("sid", "ls").alias("a"), F.greatest("sid", "ls").alias("b"),
-                F.when(F.col("sid") < F.col("ls"), F.col("n")).otherwise(F.col("ln")).alias("na"),
-                F.when(F.col("sid") < F.col("ls"), F.col("ln")).otherwise(F.col("n")).alias("nb"),
-                F.when(F.col("sid") < F.col("ls"), F.col("i")).otherwise(F.col("li")).alias("ia"),
-                F.when(F.col("sid") < F.col("ls"), F.col("li")).otherwise(F.col("i")).alias("ib"),
+            now = written(
+                posts.join(labels, posts["sid"] == labels["node"], "left").select(*posts.columns, F.coalesce("component", "sid").alias("c")),
+                "labelled",
             )
-        else:
-            pairs = _across(posts_now)
-        found = written(_verify(_filtered(pairs, percent), sets, percent), "links")
+        pairs = _led(now, turn, percent) if turn < LEADER_ROUNDS else _across(now, percent)
+        found = written(_verify(_ordered(pairs), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "components")
     reps = rows.groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
@@ -286,18 +276,32 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def _across(posts: DataFrame) -> DataFrame:
-    """All pairs of sets with a common prefix n-gram and different components, without the pairs inside the largest one.
+def _led(posts: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each set with the leader of each of its prefix n-grams, where both are in different components.
+
+    The first leader is the set with the smallest share of n-grams of its own: the middle of a group of near copies. Later
+    ones are of a component drawn by a hash.
+    """
+    draw = F.xxhash64("c", F.lit(turn)) if turn else F.lit(0)
+    offer = F.struct(draw.alias("draw"), (F.col("skip") / F.col("n")).alias("own"), "sid", "n", "i", "skip", "c")
+    keys = posts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(offer).alias("lead"))
+    keys = written(keys.where("low <> high").select("key", "lead.*"), "leaders")
+    one = posts.select("key", *_side("a")).join(keys.select("key", *_side("b")), "key")
+    return one.where((F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b")
+
+
+def _across(posts: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets with a common prefix n-gram and different components.
 
     Per n-gram the sets outside its largest component meet all sets of other components.
     """
     sizes = posts.groupBy("key", "c").agg(F.count("*").alias("held"))
-    main = written(sizes.groupBy("key").agg(F.max(F.struct("held", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.c").alias("main")), "main")
-    mixed = written(posts.join(main, "key").select("key", "sid", "n", "i", "c", (F.col("c") == F.col("main")).alias("big")), "mixed")
-    one = mixed.where("NOT big").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-    two = mixed.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"), "big")
-    near = 100 * F.least("na", "nb") >= 1 * F.greatest("na", "nb")
-    return one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & near).select("a", "b", "na", "nb", "ia", "ib")
+    main = sizes.groupBy("key").agg(F.max(F.struct("held", "c")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    main = written(main.select("key", F.col("m.c").alias("main")), "main")
+    mixed = written(posts.join(main, "key").withColumn("big", F.col("c") == F.col("main")), "mixed")
+    one = mixed.where("NOT big").select("key", *_side("a"))
+    two = mixed.select("key", *_side("b"), "big")
+    return one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & _possible(percent)).select("a", "b")
 
 
 def query(docs: DataFrame) -> DataFrame:
