@@ -7,6 +7,8 @@ textual match. Callers keep only valid JSON.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +50,16 @@ def array_strings(payload: Column | str, name: str) -> Column:
     return F.flatten(members)
 
 
+def _plain(word: str) -> str:
+    """The word as a pattern that matches only itself."""
+    return re.escape(word)
+
+
 def has_token(payload: Column | str, words: list[str]) -> Column:
     """Any of the words occurs as a complete quoted token. Arrays named ``objects`` and ``label`` values
     are such tokens, so this one test covers all the places a label may be in."""
     text = F.col(payload) if isinstance(payload, str) else payload
-    return text.rlike('"(?:' + "|".join(words) + ')"')
+    return text.rlike('"(?:' + "|".join(_plain(w) for w in words) + ')"')
 
 
 def _object_with_key(keys: list[str], depth: int = 4) -> str:

@@ -130,12 +130,12 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def file_title(col: Column | str, max_length: int = 50) -> Column:
-    """A title as a file-name part: lower case, underscores, word characters only."""
-    text = F.regexp_replace(F.lower(col), r"(?U)[\s\-]+", "_")
-    text = F.regexp_replace(text, r"(?U)[^\wЀ-ӿ]", "")
-    text = F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_+|_+$", "")
-    return F.when(F.length(text) > max_length, F.regexp_replace(F.left(text, F.lit(max_length)), "_+$", "")).otherwise(text)
+def file_title(col: Column | str) -> Column:
+    """A title as a file-name part: its words in lower case, without other signs, joined by underscores.
+
+    White space, dashes and underscores part words. The title is not cut, so different ones stay different."""
+    bare = F.transform(F.split(F.lower(col), r"(?U)[\s_-]+"), lambda word: F.regexp_replace(word, r"(?U)\W", ""))
+    return F.array_join(F.filter(bare, lambda word: word != ""), "_")
 
 
 def numbered_file_title(title: Column | str, idx: Column | str) -> Column:

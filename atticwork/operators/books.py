@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,45 +23,27 @@ PART_WORD = "часть"
 
 
 def pack_text(sentences: list[str], smallest: int, largest: int, overlap: int) -> list[tuple[str, int, int]]:
-    """Greedy packing of sentences into (text, start, end).
+    """Runs of whole sentences as (text, start, end), places in the text of all sentences joined by blanks.
 
-    A full chunk is closed before the sentence that would overflow it; the next one begins with as many
-    whole sentences of its end as reach ``overlap`` characters. A chunk that came out smaller than
-    ``smallest`` is appended to the one before.
+    A run has as many sentences as fit into ``largest`` characters, one at least. The next run starts with the whole
+    sentences at its end that reach ``overlap`` characters, fewer if the next sentence would not fit behind them.
+    A run shorter than ``smallest`` is joined to the one before.
     """
-    chunks: list[tuple[str, int, int]] = []
-    held: list[str] = []
-    size = begin = 0
-
-    def close() -> tuple[str, int]:
-        text = " ".join(held)
-        chunks.append((text, begin, begin + len(text)))
-        return text, begin + len(text)
-
-    for sentence in sentences:
-        if held and size + len(sentence) + 1 > largest:
-            _, end = close()
-            tail: list[str] = []
-            reach = 0
-            while held and reach < overlap:
-                tail.insert(0, held.pop())
-                reach += len(tail[0]) + 1
-            held = [w for w in " ".join(tail).split(" ") if w.strip()]
-            size = len(" ".join(tail).strip())
-            begin = end - size
-        held.append(sentence)
-        size += len(sentence) + 1
-    if held:
-        close()
-
-    merged: list[tuple[str, int, int]] = []
-    for text, start, end in chunks:
-        if merged and len(text) < smallest:
-            before, first, _ = merged[-1]
-            merged[-1] = (f"{before} {text}", first, end)
+    begins = [0, *accumulate(len(sentence) + 1 for sentence in sentences)]
+    runs: list[tuple[int, int]] = []
+    first = 0
+    while first < len(sentences):
+        stop = max(first + 1, bisect_right(begins, begins[first] + largest + 1) - 1)
+        if runs and begins[stop] - 1 - begins[first] < smallest:
+            runs[-1] = (runs[-1][0], stop)
         else:
-            merged.append((text, start, end))
-    return merged
+            runs.append((first, stop))
+        if stop == len(sentences):
+            break
+        reach = bisect_right(begins, begins[stop] - overlap) - 1
+        fits = bisect_left(begins, begins[stop + 1] - 1 - largest)
+        first = min(stop, max(first + 1, reach, fits))
+    return [(" ".join(sentences[a:b]), begins[a], begins[b] - 1) for a, b in runs]
 
 
 def pack_sentences(
@@ -198,14 +182,14 @@ def body_text(content: Column | str) -> Column:
 
 
 def summary_queue(
-    sections: DataFrame, summaries: DataFrame, keys: list[str], min_size: int = MIN_BATCH, max_chars: int = MAX_SECTION
+    sections: DataFrame, summaries: DataFrame, keys: list[str], min_size: int = MIN_BATCH, max_chars: int | None = None
 ) -> DataFrame:
-    """Sections that still need a summary: long enough and without one. ``prompt_text`` is the body cut
-    to what a summariser takes; the section itself is kept whole."""
+    """Sections that still need a summary: long enough and without one. ``prompt_text`` is the whole body, or with
+    ``max_chars`` its start; longer sections can be cut into parts by ``split_long_section`` before."""
     body = body_text("content")
     waiting = sections.withColumn("body", body).filter(F.length(t.strip("body")) >= min_size)
     return waiting.join(summaries.select(*keys), keys, "left_anti").withColumn(
-        "prompt_text", F.left("body", F.lit(max_chars))
+        "prompt_text", F.col("body") if max_chars is None else F.left("body", F.lit(max_chars))
     )
 
 

@@ -33,6 +33,13 @@ def semantic_search(
     return scored.orderBy(F.asc_nulls_last("distance"), tie).limit(top_k).drop("embedding")
 
 
+def _first(ids: np.ndarray, distance: np.ndarray, take: int) -> np.ndarray:
+    """Places of the ``take`` smallest distances, equal ones by id: only what is not above the last one is sorted."""
+    last = np.partition(distance, take - 1)[take - 1]
+    near = np.flatnonzero(distance <= last)
+    return near[np.lexsort((ids[near], distance[near]))[:take]]
+
+
 def _block_top_k(df: DataFrame, block: list[tuple[str, list[float]]], vector: str, id_: str, k: int) -> DataFrame:
     names = [name for name, _ in block]
     queries = np.asarray([vec for _, vec in block], dtype="float64")
@@ -50,8 +57,7 @@ def _block_top_k(df: DataFrame, block: list[tuple[str, list[float]]], vector: st
             distance = np.where(size > 0, np.maximum(distance, 0.0), np.inf)
             ids = batch[id_].to_numpy()
             take = min(k, len(ids))
-            # Equal distances are settled by id, here and in the final ranking alike.
-            order = np.stack([np.lexsort((ids, distance[:, q]))[:take] for q in range(len(names))])
+            order = np.stack([_first(ids, distance[:, q], take) for q in range(len(names))])
             found = pd.DataFrame(
                 {
                     "query": np.repeat(names, take),
@@ -66,7 +72,9 @@ def _block_top_k(df: DataFrame, block: list[tuple[str, list[float]]], vector: st
             yield kept
 
     id_type = df.schema[id_].dataType.simpleString()
-    return df.select(id_, vector).mapInPandas(best, f"query string, {id_} {id_type}, distance double")
+    # Null vectors, vectors with a null or NaN and those of another length have no distance and take no part.
+    whole = F.col(vector).isNotNull() & (F.size(vector) == queries.shape[1]) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    return df.filter(whole).select(id_, vector).mapInPandas(best, f"query string, {id_} {id_type}, distance double")
 
 
 def nearest_to_each(

@@ -64,7 +64,7 @@ def asset_faces(faces: DataFrame, persons: DataFrame) -> DataFrame:
     return faces.join(names, "person_id", "left")
 
 
-def faces_by_score(faces: DataFrame, keys: list[str], n: int = 300) -> DataFrame:
+def faces_by_score(faces: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The ``n`` best-scored faces per person (or asset), faces without score last."""
     return top_per_key(faces, keys, [F.desc_nulls_last("score"), F.col("id")], n)
 
@@ -117,11 +117,13 @@ def merge_log(log: DataFrame, limit: int = 100) -> DataFrame:
 # --- memberships ---
 
 
-def sync_plan(target: DataFrame, current: DataFrame, mode: str = "sync") -> DataFrame:
+def sync_plan(target: DataFrame, current: DataFrame, mode: str = "sync", wanted: DataFrame | None = None) -> DataFrame:
     """What to do so that ``current(label, asset_id)`` becomes ``target(label, asset_id)``.
 
     ``action`` is add or remove; ``create_label`` tells that the label has no rows yet and must be
-    created. Mode ``add`` never removes. Labels missing from the target are left alone.
+    created. Mode ``add`` never removes. ``wanted`` (label) names labels to bring in line even if the target has no assets
+    for them: those present are emptied, the others get one row with action create and no asset. All other
+    labels missing from the target are left alone.
 
     Both sides are stacked and folded per (label, asset): a set operation with map-side combine that
     needs no join and cannot be skewed by one label.
@@ -134,7 +136,12 @@ def sync_plan(target: DataFrame, current: DataFrame, mode: str = "sync") -> Data
     pairs = both.groupBy("label", "asset_id").agg(F.max("t").alias("t"), F.max("c").alias("c"))
     labels = both.groupBy("label").agg(F.max("t").alias("wanted"), F.max("c").alias("present"))
     changes = pairs.filter("t <> c" if mode == "sync" else "t = 1 and c = 0")
-    return (
+    new = None
+    if wanted is not None:
+        asked = wanted.select("label").distinct()
+        new = asked.join(labels, "label", "left_anti")
+        labels = labels.join(asked.withColumn("_asked", F.lit(1)), "label", "left").withColumn("wanted", F.greatest("wanted", "_asked"))
+    plan = (
         changes.join(labels.filter("wanted = 1"), "label")
         .select(
             "label",
@@ -143,6 +150,10 @@ def sync_plan(target: DataFrame, current: DataFrame, mode: str = "sync") -> Data
             (F.col("present") == 0).alias("create_label"),
         )
     )
+    if new is None:
+        return plan
+    nothing = F.lit(None).cast(plan.schema["asset_id"].dataType).alias("asset_id")
+    return plan.unionByName(new.select("label", nothing, F.lit("create").alias("action"), F.lit(True).alias("create_label")))
 
 
 def sync_summary(plan: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 from .dedup import first_per_key
@@ -42,23 +43,33 @@ def count_chunks(chunks: DataFrame) -> DataFrame:
     return keys.distinct().agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def in_order(rows: DataFrame, order: list[Column | str], limit: int | None) -> DataFrame:
+    """The rows sorted; with a limit the first ones, numbered as ``rank`` from 1."""
+    if limit is None:
+        return rows.orderBy(*order)
+    top = rows.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
+
+
 def exact_search(
     chunks: DataFrame,
     query: str,
-    limit: int = 30,
+    limit: int | None = None,
     chunk_type: str | None = "",
     source: str | None = None,
     section: str | None = None,
 ) -> DataFrame:
-    """Chunks whose content holds the text, any case, in reading order; a chunk listed once."""
+    """Chunks whose content holds the text, any case, in reading order; a chunk listed once.
+
+    All of them, or the first ``limit`` with their ``rank``."""
     hits = with_filters(chunks, chunk_type, source, section).filter(t.contains_ci("content", query))
-    return first_per_key(hits.orderBy(*PLACE).limit(limit), CHUNK_KEY, ["line_start"])
+    return in_order(first_per_key(hits, CHUNK_KEY, ["line_start"]), PLACE, limit)
 
 
 def multi_term_search(
     chunks: DataFrame,
     terms: list[str],
-    limit: int = 30,
+    limit: int | None = None,
     chunk_type: str | None = "",
     source: str | None = None,
     section: str | None = None,
@@ -70,67 +81,70 @@ def multi_term_search(
         .withColumn("match_count", t.match_count("content", unique))
         .filter("match_count > 0")
     )
-    best = scored.orderBy(F.desc("match_count"), *PLACE).limit(limit)
-    return first_per_key(best, CHUNK_KEY, ["line_start"])
+    return in_order(first_per_key(scored, CHUNK_KEY, ["line_start"]), [F.desc("match_count"), *PLACE], limit)
 
 
-def coverage_groups(hits: DataFrame, ref: Column) -> DataFrame:
-    """Hits of a multi-term search grouped by the number of matched terms. ``hits`` is a limited
-    result, which bounds the collected list."""
-    return hits.groupBy("match_count").agg(
-        F.count(F.lit(1)).alias("chunks"), F.array_join(F.sort_array(F.collect_list(ref)), ",").alias("refs")
+def coverage_groups(hits: DataFrame) -> DataFrame:
+    """All hits of a multi-term search counted by the number of matched terms, with ``total_chunks`` and
+    ``max_coverage`` of the whole search. One row per number of terms, so the totals are a window over few rows."""
+    counted = hits.groupBy("match_count").agg(F.count(F.lit(1)).alias("chunks"))
+    whole = Window.partitionBy(F.lit(0))
+    return counted.select(
+        "match_count", "chunks", F.sum("chunks").over(whole).alias("total_chunks"), F.max("match_count").over(whole).alias("max_coverage")
     )
 
 
-def regex_search(chunks: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
-    """Every match as a row (whole match, any case). As many as ``5 × max_results`` matching chunks are
-    looked at in reading order, and ``max_results`` matches are returned."""
+def regex_search(chunks: DataFrame, pattern: str, max_results: int | None = None) -> DataFrame:
+    """Every match as a row (whole match, any case), in reading order; all of them, or the first ``max_results``.
+
+    A matching chunk has one match at least, so the first ``max_results`` chunks hold the first matches."""
     folded = t.folded(pattern)
-    rows = chunks.filter(F.col("content").rlike(folded)).orderBy(*PLACE).limit(max_results * 5)
+    rows = chunks.filter(F.col("content").rlike(folded))
+    if max_results is not None:
+        rows = rows.orderBy(*PLACE).limit(max_results)
     found = rows.select(
         *PLACE, F.posexplode(F.regexp_extract_all("content", F.lit(folded), 0)).alias("match_no", "matched_text")
     )
-    return (
-        found.orderBy(*PLACE, "match_no")
-        .limit(max_results)
-        .select("source", "line_start", "chunk_index", "match_no", "matched_text")
+    ordered = found.orderBy(*PLACE, "match_no")
+    return (ordered if max_results is None else ordered.limit(max_results)).select(
+        "source", "line_start", "chunk_index", "match_no", "matched_text"
     )
 
 
-def find_expansions(chunks: DataFrame, abbreviation: str, max_results: int = 50) -> DataFrame:
-    """What an abbreviation stands for, with the prose chunk nearest to its first mention.
+def find_expansions(chunks: DataFrame, abbreviation: str, max_results: int | None = None) -> DataFrame:
+    """What an abbreviation stands for, with the prose chunk nearest to its first mention, by expansion.
 
-    Matches and expansions are limited results, so the broadcast side has at most ``max_results`` rows;
-    the chunk table is not shuffled.
+    All expansions, or the first ``max_results`` in alphabetical order. A prose chunk in the line of the mention that holds the
+    expansion is the nearest by itself; only the other expansions are looked for in the whole source.
     """
     pattern = t.abbreviation_pattern(abbreviation)
     matches = (
         chunks.limit(0).select("source", "line_start", "chunk_index", F.lit(0).alias("match_no"), F.lit("").alias("matched_text"))
         if pattern is None
-        else regex_search(chunks, pattern, max_results * 3)
+        else regex_search(chunks, pattern)
     )
     named = matches.withColumn("expansion", F.regexp_replace(t.strip("matched_text"), r"(?U)\s+", " "))
     mentions = (
         named.filter("expansion <> ''")
         .groupBy("expansion")
         .agg(F.min(F.struct("source", "line_start", "chunk_index", "match_no")).alias("at"))
-        .orderBy("expansion")
-        .limit(max_results)
         .select("expansion", F.col("at.source").alias("source"), F.col("at.line_start").alias("mention_line"))
     )
+    if max_results is not None:
+        mentions = mentions.orderBy("expansion").limit(max_results)
     prose = chunks.filter("chunk_type = ''").select("source", "section", "content", "line_start", "chunk_index")
-    near = prose.join(F.broadcast(mentions), "source").filter(
-        F.contains(F.lower("content"), F.lower("expansion"))
-    )
-    best = near.groupBy("expansion").agg(
-        F.min(
-            F.struct(
-                F.abs(F.col("line_start") - F.col("mention_line")).alias("gap"),
-                "line_start", "chunk_index", "source", "section", "content",
-            )
-        ).alias("b")
-    )
-    return best.select("expansion", "b.source", "b.section", "b.line_start", "b.chunk_index", "b.content")
+    holds = F.contains(F.lower("content"), F.lower("expansion"))
+
+    def nearest(near: DataFrame) -> DataFrame:
+        gap = F.abs(F.col("line_start") - F.col("mention_line")).alias("gap")
+        place = F.struct(gap, "line_start", "chunk_index", "source", "section", "content")
+        return near.groupBy("expansion").agg(F.min(place).alias("b")).select(
+            "expansion", "b.source", "b.section", "b.line_start", "b.chunk_index", "b.content"
+        )
+
+    here = nearest(prose.join(mentions, (prose["source"] == mentions["source"]) & (F.col("line_start") == F.col("mention_line"))).drop(mentions["source"]).filter(holds))
+    others = mentions.join(here.select("expansion"), "expansion", "left_anti")
+    return here.unionByName(nearest(prose.join(others, "source").filter(holds))).orderBy("expansion")
 
 
 def chunks_by_index(chunks: DataFrame, source: str, section: str, indices: list[int]) -> DataFrame:
@@ -142,7 +156,7 @@ def chunks_by_index(chunks: DataFrame, source: str, section: str, indices: list[
 def neighbor_chunks(
     chunks: DataFrame, source: str, line: int, before: int = 5, after: int = 5, include_anchor: bool = True
 ) -> DataFrame:
-    """The chunks around one line of a source: two bounded sorts, no window."""
+    """The chunks around one line of a source, in reading order: two bounded sorts, no window."""
     own = chunks.filter(F.col("source") == source)
     earlier = own.filter(F.col("line_start") < line).orderBy(F.desc("line_start"), F.desc("chunk_index")).limit(before)
     later = own.filter(F.col("line_start") > line).orderBy("line_start", "chunk_index").limit(after)
@@ -153,7 +167,7 @@ def neighbor_chunks(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.orderBy("line_start", "chunk_index")
 
 
 def neighbors_of(chunks: DataFrame, anchors: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
@@ -217,9 +231,11 @@ def similar_sections(chunks: DataFrame, source: str, section: str, limit: int =
     )
 
 
-def table_chunks(chunks: DataFrame, section: str, source: str | None = None, limit: int = 50) -> DataFrame:
+def table_chunks(chunks: DataFrame, section: str, source: str | None = None, limit: int | None = None) -> DataFrame:
+    """Table chunks of the sections whose name holds the text: all, or the first ``limit``."""
     hits = with_filters(chunks, None, source, section).filter(F.col("chunk_type").isin("table_row", "table_full"))
-    return hits.orderBy("source", "section", "line_start", "chunk_index").limit(limit)
+    ordered = hits.orderBy("source", "section", "line_start", "chunk_index")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def row_cells(headers: Column | str, cells: Column | str) -> Column:
@@ -235,14 +251,14 @@ def row_cells(headers: Column | str, cells: Column | str) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["h"], p["c"])))
 
 
-def read_table(chunks: DataFrame, source: str, section: str, limit: int = 50) -> DataFrame:
+def read_table(chunks: DataFrame, source: str, section: str, limit: int | None = None) -> DataFrame:
     """Rows of the tables in a section as maps."""
     rows = table_chunks(chunks.filter("chunk_type = 'table_row'"), section, source, limit)
     return rows.select("source", "section", "line_start", "chunk_index", row_cells("table_headers", "content").alias("columns"))
 
 
-def format_hits(hits: DataFrame, rank: str, max_chars: int = 800) -> DataFrame:
-    """Hits as readable text: rank and place, table cells as ``header: value`` pairs, long content cut."""
+def format_hits(hits: DataFrame, rank: str, max_chars: int | None = None) -> DataFrame:
+    """Hits as readable text: rank and place, table cells as ``header: value`` pairs; with ``max_chars`` long content is cut."""
     pairs = F.arrays_zip(
         F.from_json("table_headers", "array<string>").alias("h"), F.from_json("content", "array<string>").alias("c")
     )
@@ -253,7 +269,7 @@ def format_hits(hits: DataFrame, rank: str, max_chars: int = 800) -> DataFrame:
         "; ",
     )
     body = F.when((F.col("chunk_type") == "table_row") & (shown != ""), shown).otherwise(F.col("content"))
-    cut = F.when(F.length(body) > max_chars, F.concat(F.left(body, F.lit(max_chars)), F.lit("\n...[cut]"))).otherwise(body)
+    cut = body if max_chars is None else F.when(F.length(body) > max_chars, F.concat(F.left(body, F.lit(max_chars)), F.lit("\n...[cut]"))).otherwise(body)
     head = F.concat(
         F.lit("["), F.col(rank).cast("string"), F.lit("] ["), F.col("source"), F.lit("]"),
         F.when(F.col("section") != "", F.concat(F.lit(" — "), F.col("section"))).otherwise(""),

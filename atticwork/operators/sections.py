@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, vectors
 from ..functions import text as t
 from .dedup import first_per_key
-from .search import PLACE, with_filters
+from .search import with_filters
 
 # How far a section name may be from the query, by meaning and by spelling.
 SEMANTIC_MAX_DISTANCE = 0.58
@@ -30,13 +30,10 @@ def source_totals(chunks: DataFrame) -> DataFrame:
     )
 
 
-def list_sections(chunks: DataFrame, source: str | None = None, limit: int = 1000) -> DataFrame:
-    """Named sections with their chunk counts. The first ``limit`` (source, section) pairs are listed;
-    a pair without a name takes a place in them but is not shown."""
-    pairs = with_filters(chunks, source=source).groupBy("source", "section").agg(
-        F.count(F.lit(1)).alias("chunks_count")
-    )
-    return pairs.orderBy("source", "section").limit(limit).filter("section <> ''")
+def list_sections(chunks: DataFrame, source: str | None = None) -> DataFrame:
+    """All named sections with their chunk counts, in order."""
+    named = with_filters(chunks, source=source).filter("section <> ''")
+    return named.groupBy("source", "section").agg(F.count(F.lit(1)).alias("chunks_count")).orderBy("source", "section")
 
 
 def list_leaf_sections(chunks: DataFrame) -> DataFrame:
@@ -51,23 +48,24 @@ def sections_by_name(chunks: DataFrame, query: str, source: str | None = None) -
     return named.groupBy("source", "section").agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
-def sections_with_term(
-    chunks: DataFrame, term: str, limit: int = 100, chunk_type: str | None = None, source: str | None = None
-) -> DataFrame:
-    """Sections of the first ``limit`` chunks (in reading order) that hold the term, with hit counts."""
+def sections_with_term(chunks: DataFrame, term: str, chunk_type: str | None = None, source: str | None = None) -> DataFrame:
+    """Sections with the number of their chunks that hold the term."""
     hits = with_filters(chunks, chunk_type, source).filter(t.contains_ci("content", term))
-    return hits.orderBy(*PLACE).limit(limit).groupBy("source", "section").agg(F.count(F.lit(1)).alias("match_count"))
+    return hits.groupBy("source", "section").agg(F.count(F.lit(1)).alias("match_count"))
 
 
-def term_sections(
-    chunks: DataFrame, terms: list[str], limit: int = 500, source: str | None = None
-) -> DataFrame:
-    """Sections holding any of the terms; the count is that of the first term found there."""
-    found = [
-        sections_with_term(chunks, term, limit, None, source).withColumn("term_no", F.lit(i))
-        for i, term in enumerate(terms)
-    ]
-    return first_per_key(reduce(DataFrame.unionByName, found), ["source", "section"], ["term_no"])
+def term_sections(chunks: DataFrame, terms: list[str], source: str | None = None) -> DataFrame:
+    """Sections holding any of the terms; the count is that of the first term found there, ``term_no`` its place in the list.
+
+    One scan counts all terms."""
+    held = [t.contains_ci("content", term) for term in terms]
+    rows = with_filters(chunks, source=source).filter(reduce(Column.__or__, held))
+    counts = F.array(*[F.count_if(h) for h in held]).alias("counts")
+    counted = rows.groupBy("source", "section").agg(counts)
+    first = F.array_position(F.transform("counts", lambda n: n > 0), True)
+    return counted.select(
+        "source", "section", F.element_at("counts", first.cast("int")).alias("match_count"), (first - 1).cast("int").alias("term_no")
+    )
 
 
 def fuzzy_sections(
@@ -142,7 +140,7 @@ def search_sections(
         for df, priority in ((near, SEMANTIC), (alike, FUZZY)):
             parts.append(branch(df, priority, percent, F.round(closeness, 4), F.col("distance")))
     if exact_terms:
-        held = term_sections(chunks, exact_terms, 500, source)
+        held = term_sections(chunks, exact_terms, source)
         parts.append(branch(held, CONTENT, F.col("match_count"), none, -F.col("match_count")))
     found = first_per_key(reduce(DataFrame.unionByName, parts), ["source", "section"], ["priority"])
     names = F.array(*[F.lit(n) for n in ("NAME", "SEMANTIC", "FUZZY", "CONTENT")])

@@ -63,7 +63,7 @@ def continued_index(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, n_chars, md5(left(text, 100000)) AS prompt FROM documents
+    """SELECT doc_id, n_chars, md5(text) AS prompt FROM documents
     WHERE length(trim(text, E' \t\n\r')) >= 1000 AND doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def summary_queue(t: Tables) -> DataFrame:
@@ -124,7 +124,7 @@ def markdown_corpus(t: Tables) -> DataFrame:
     """Documents given Markdown structure: the first line becomes a title, a parts table is not there,
     every other line a paragraph of its own."""
     lines = F.split("text", "\n")
-    shaped = F.transform(lines, lambda line, i: F.when(i == 0, F.concat(F.lit("# "), F.left(line, F.lit(40)))).otherwise(line))
+    shaped = F.transform(lines, lambda line, i: F.when(i == 0, F.concat(F.lit("# "), line)).otherwise(line))
     return t.documents.select(F.col("doc_id").alias("doc"), "source", F.array_join(shaped, "\n\n").alias("text"))
 
 

@@ -72,66 +72,67 @@ _NAMED = """
 """
 
 
-@query(f"WITH {_CHUNKS} SELECT id, source, section FROM c WHERE contains(lower(content), 'ereau') ORDER BY source, line_start LIMIT 30")
+@query(f"WITH {_CHUNKS} SELECT id, source, section FROM c WHERE contains(lower(content), 'ereau')")
 def exact_search(t: Tables) -> DataFrame:
     return search.exact_search(chunks(t), "EREAU").select("id", "source", "section")
 
 
 @query(
-    f"""WITH {_CHUNKS} SELECT id, source, section FROM c
+    f"""WITH {_CHUNKS} SELECT id, source, section, row_number() OVER (ORDER BY line_start) AS rank FROM c
     WHERE contains(lower(content), 'ê') AND source = 'src3' AND contains(lower(section), 'f') ORDER BY line_start LIMIT 200"""
 )
 def exact_search_in_section(t: Tables) -> DataFrame:
-    return search.exact_search(chunks(t), "Ê", 200, source="src3", section="F").select("id", "source", "section")
+    return search.exact_search(chunks(t), "Ê", 200, source="src3", section="F").select("id", "source", "section", "rank")
 
 
 @query(
     f"""WITH {_CHUNKS}, m AS (
         SELECT *, CAST(contains(lower(content), 'the') AS INT) + CAST(contains(lower(content), 'mail') AS INT)
                   + CAST(contains(lower(content), 'license') AS INT) AS match_count FROM c)
-    SELECT id, source, match_count FROM m WHERE match_count > 0 ORDER BY match_count DESC, source, line_start LIMIT 200"""
+    SELECT id, source, match_count, row_number() OVER (ORDER BY match_count DESC, source, line_start) AS rank
+    FROM m WHERE match_count > 0 ORDER BY match_count DESC, source, line_start LIMIT 200"""
 )
 def multi_term_search(t: Tables) -> DataFrame:
-    return search.multi_term_search(chunks(t), ["the", "mail", "License", "the"], 200).select("id", "source", "match_count")
+    return search.multi_term_search(chunks(t), ["the", "mail", "License", "the"], 200).select("id", "source", "match_count", "rank")
 
 
 @query(
     f"""WITH {_CHUNKS}, m AS (
         SELECT *, CAST(contains(lower(content), 'the') AS INT) + CAST(contains(lower(content), 'mail') AS INT)
                   + CAST(contains(lower(content), 'license') AS INT) AS match_count FROM c),
-    top AS (SELECT * FROM m WHERE match_count > 0 ORDER BY match_count DESC, source, line_start LIMIT 200)
-    SELECT match_count, count(*) AS chunks, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS refs FROM top GROUP BY match_count"""
+    n AS (SELECT match_count, count(*) AS chunks FROM m WHERE match_count > 0 GROUP BY match_count)
+    SELECT match_count, chunks, CAST(sum(chunks) OVER () AS BIGINT) AS total_chunks, max(match_count) OVER () AS max_coverage FROM n"""
 )
 def coverage_groups(t: Tables) -> DataFrame:
-    return search.coverage_groups(search.multi_term_search(chunks(t), ["the", "mail", "license"], 200), F.col("id"))
+    return search.coverage_groups(search.multi_term_search(chunks(t), ["the", "mail", "license"]))
 
 
 @query(
     rf"""WITH {_CHUNKS},
-    lim AS (SELECT * FROM c WHERE regexp_matches(content, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') ORDER BY source, line_start LIMIT 250),
+    lim AS (SELECT * FROM c WHERE regexp_matches(content, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}')),
     x AS (SELECT source, line_start, regexp_extract_all(content, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') AS found FROM lim),
     u AS (SELECT source, line_start, unnest(found) AS matched_text, unnest(range(len(found))) AS match_no FROM x)
-    SELECT source, line_start, match_no, matched_text FROM u ORDER BY source, line_start, match_no LIMIT 50"""
+    SELECT source, line_start, match_no, matched_text FROM u"""
 )
 def regex_search(t: Tables) -> DataFrame:
-    found = search.regex_search(chunks(t), r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", 50)
+    found = search.regex_search(chunks(t), r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")
     return found.select("source", "line_start", "match_no", "matched_text")
 
 
 @query(
     rf"""WITH {_CHUNKS},
     x AS (SELECT source, line_start, regexp_extract_all(content, '(?i)t[a-z]*\s+a[a-z]*\s+o[a-z]*') AS found FROM c
-          WHERE regexp_matches(content, '(?i)t[a-z]*\s+a[a-z]*\s+o[a-z]*') ORDER BY source, line_start LIMIT 750),
+          WHERE regexp_matches(content, '(?i)t[a-z]*\s+a[a-z]*\s+o[a-z]*')),
     u AS (SELECT source, line_start, unnest(found) AS m, unnest(range(len(found))) AS match_no FROM x),
-    l AS (SELECT *, regexp_replace(m, '\s+', ' ', 'g') AS expansion FROM u ORDER BY source, line_start, match_no LIMIT 150),
+    l AS (SELECT *, regexp_replace(m, '\s+', ' ', 'g') AS expansion FROM u),
     e AS (SELECT expansion, arg_min(source, (source, line_start, match_no)) AS source,
-                 arg_min(line_start, (source, line_start, match_no)) AS mention FROM l GROUP BY expansion ORDER BY expansion LIMIT 50),
+                 arg_min(line_start, (source, line_start, match_no)) AS mention FROM l GROUP BY expansion),
     j AS (SELECT e.expansion, c.source, c.section, c.line_start, abs(c.line_start - e.mention) AS gap FROM e JOIN c ON c.source = e.source
           AND contains(lower(c.content), lower(e.expansion)))
     SELECT expansion, source, section, line_start FROM j QUALIFY row_number() OVER (PARTITION BY expansion ORDER BY gap, line_start) = 1"""
 )
 def abbreviation_expansions(t: Tables) -> DataFrame:
-    return search.find_expansions(chunks(t), "TAO", 50).select("expansion", "source", "section", "line_start")
+    return search.find_expansions(chunks(t), "TAO").select("expansion", "source", "section", "line_start")
 
 
 @query("SELECT count(*) AS chunks FROM (SELECT DISTINCT source, lang, text FROM documents)")
@@ -155,7 +156,7 @@ def source_totals(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {_NAMED} SELECT source, section, count(*) AS chunks_count FROM c GROUP BY ALL ORDER BY source, section LIMIT 1000"
+    f"WITH {_NAMED} SELECT source, section, count(*) AS chunks_count FROM c GROUP BY ALL"
 )
 def list_sections(t: Tables) -> DataFrame:
     return sections.list_sections(named_chunks(t))
@@ -175,18 +176,18 @@ def sections_by_name(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CHUNKS}, h AS (SELECT source, section FROM c WHERE contains(lower(content), 'tion') ORDER BY source, line_start LIMIT 100)
+    f"""WITH {_CHUNKS}, h AS (SELECT source, section FROM c WHERE contains(lower(content), 'tion'))
     SELECT source, section, count(*) AS match_count FROM h GROUP BY ALL"""
 )
 def sections_with_term(t: Tables) -> DataFrame:
-    return sections.sections_with_term(chunks(t), "tion", 100)
+    return sections.sections_with_term(chunks(t), "tion")
 
 
 _TERMS = """
     t1 AS (SELECT source, section, count(*) AS match_count, 0 AS term_no FROM (
-            SELECT * FROM c WHERE contains(lower(content), '{a}') ORDER BY source, line_start LIMIT 500) GROUP BY ALL),
+            SELECT * FROM c WHERE contains(lower(content), '{a}')) GROUP BY ALL),
     t2 AS (SELECT source, section, count(*) AS match_count, 1 AS term_no FROM (
-            SELECT * FROM c WHERE contains(lower(content), '{b}') ORDER BY source, line_start LIMIT 500) GROUP BY ALL),
+            SELECT * FROM c WHERE contains(lower(content), '{b}')) GROUP BY ALL),
     tt AS (SELECT source, section, arg_min(match_count, term_no) AS match_count
            FROM (FROM t1 UNION ALL FROM t2) GROUP BY source, section)
 """
@@ -210,7 +211,7 @@ _GRAMS = """
 
 @query(
     f"""WITH {_NAMED}, {_GRAMS.format(q='economy smal rign')}
-    SELECT source, section, round(distance, 6) AS distance FROM fz ORDER BY fz.distance, source, section LIMIT 40"""
+    SELECT source, section, round(distance, 6) AS distance FROM (SELECT * FROM fz ORDER BY distance, source, section LIMIT 40) WHERE distance <= 0.82"""
 )
 def fuzzy_sections(t: Tables) -> DataFrame:
     near = sections.fuzzy_sections(named_chunks(t), "Economy smal rign", 40, 0.82)
@@ -333,7 +334,7 @@ def similar_sections(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey AS id, p_brand AS source FROM part WHERE contains(lower(p_type), 'medium') ORDER BY p_brand, p_type, p_partkey LIMIT 50"""
+    """SELECT p_partkey AS id, p_brand AS source FROM part WHERE contains(lower(p_type), 'medium')"""
 )
 def table_chunks(t: Tables) -> DataFrame:
     return search.table_chunks(part_tables(t), "Medium").select("id", "source")
@@ -341,7 +342,7 @@ def table_chunks(t: Tables) -> DataFrame:
 
 @query(
     """SELECT p_partkey AS line_start, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part
-    WHERE p_brand = 'Brand#7' AND contains(lower(p_type), 'o') ORDER BY p_brand, p_type, p_partkey LIMIT 50"""
+    WHERE p_brand = 'Brand#7' AND contains(lower(p_type), 'o')"""
 )
 def read_table(t: Tables) -> DataFrame:
     rows = search.read_table(part_tables(t), "Brand#7", "O")
@@ -360,7 +361,7 @@ def display_table_rows(t: Tables) -> DataFrame:
 @query(
     f"""WITH {_CHUNKS} SELECT id, '[' || CAST(id AS VARCHAR) || '] [' || source || '] — ' || section
            || CASE WHEN line_start > 0 THEN ' (line ' || CAST(line_start AS VARCHAR) || ')' ELSE '' END || chr(10)
-           || CASE WHEN length(content) > 800 THEN left(content, 800) || chr(10) || '...[cut]' ELSE content END AS display FROM c"""
+           || content AS display FROM c"""
 )
 def display_hits(t: Tables) -> DataFrame:
     return search.format_hits(chunks(t), "id").select("id", "display")

@@ -1,7 +1,6 @@
 """Streaming queries over ``events`` as a file stream, run to the end of what is there.
 
-A closed visit or window is one the final watermark (newest time minus the delay) has passed, so each
-SQL counterpart keeps exactly those.
+The tables have an end, so what is open there is closed and every visit and window comes out.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import leads as ld
+from ..session import shared_dir
 from ..streaming import events as s
 from .camera import messages, recognition
 from .catalog import Tables, query
@@ -37,62 +37,62 @@ _VISITS = """
     WITH d AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
     g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev {op} INTERVAL {gap} THEN 1 ELSE 0 END)
                  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM d),
-    v AS (SELECT user_id, g, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM g GROUP BY ALL),
-    closed AS (SELECT * FROM v WHERE last_ts + INTERVAL {gap} - to_microseconds({less}) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+    closed AS (SELECT user_id, g, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM g GROUP BY ALL)
 """
 
 
 @query(
-    _VISITS.format(op=">", gap="1 HOUR", less=0)
+    _VISITS.format(op=">", gap="1 HOUR")
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, events FROM closed"
 )
 def streamed_visits(t: Tables) -> DataFrame:
-    out = s.run_available(s.visit_sessions(stream(t), "user_id", "ts", "1 hour", "10 minutes").drop("_s"), "visits")
+    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes").drop("_s")
+    out = s.run_to_the_end(stream(t), "ts", build, "visits")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("user_id", stamp("first_ts"), stamp("last_ts"), "events")
 
 
 @query(
-    _VISITS.format(op=">=", gap="1 HOUR", less=1)
+    _VISITS.format(op=">=", gap="1 HOUR")
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, events FROM closed"
 )
 def streamed_visits_from_gap_on(t: Tables) -> DataFrame:
-    visits = s.visit_sessions(stream(t), "user_id", "ts", "1 hour", "10 minutes", strict=False).drop("_s")
-    out = s.run_available(visits, "visits-from")
+    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes", strict=False).drop("_s")
+    out = s.run_to_the_end(stream(t), "ts", build, "visits-from")
     return out.select("user_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "events")
 
 
 @query(
-    _VISITS.format(op=">", gap="24 HOUR", less=0)
+    _VISITS.format(op=">", gap="24 HOUR")
     + """, a AS (SELECT user_id AS person_id, lag(last_ts) OVER (PARTITION BY user_id ORDER BY first_ts) AS last_seen, first_ts AS seen_again FROM closed)
     SELECT person_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(seen_again, '%Y-%m-%d %H:%M:%S') AS seen_again,
     round(date_diff('microsecond', last_seen, seen_again) / 3600000000.0, 3) AS gap_hours FROM a WHERE last_seen IS NOT NULL"""
 )
 def streamed_repeat_alerts(t: Tables) -> DataFrame:
-    visits = s.run_available(s.visit_sessions(stream(t), "user_id", "ts", "24 hours", "10 minutes").drop("_s"), "day-visits")
-    out = s.run_available(s.repeat_alerts(s.follow(visits), "user_id"), "alerts")
+    folder = shared_dir(t.spark, "day-visits")
+    build = lambda df: s.visit_sessions(df, "user_id", "ts", "24 hours", "10 minutes").drop("_s")
+    visits = s.run_to_the_end(stream(t), "ts", build, "day-visits", folder)
+    out = s.run_available(s.repeat_alerts(s.follow(t.spark, folder, visits.schema), "user_id"), "alerts")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("person_id", stamp("last_seen"), stamp("seen_again"), F.round("gap_hours", 3).alias("gap_hours"))
 
 
 @query(
-    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL"""
 )
 def streamed_calendar_counts(t: Tables) -> DataFrame:
-    out = s.run_available(s.calendar_counts_stream(stream(t), "ts", ["event_type"], "10 minutes"), "calendar")
+    out = s.run_to_the_end(stream(t), "ts", lambda df: s.calendar_counts_stream(df, "ts", ["event_type"], "10 minutes"), "calendar")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
 @query(
     """WITH w AS (SELECT event_type, unnest([date_trunc('day', ts) + to_hours(12 * (hour(ts) // 12)), date_trunc('day', ts) + to_hours(12 * (hour(ts) // 12) - 12)]) AS s
         FROM events)
-    SELECT strftime(s, '%Y-%m-%d %H') AS start, event_type, count(*) AS events FROM w
-    WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
+    SELECT strftime(s, '%Y-%m-%d %H') AS start, event_type, count(*) AS events FROM w GROUP BY ALL"""
 )
 def streamed_sliding_counts(t: Tables) -> DataFrame:
-    counts = s.calendar_counts_stream(stream(t), "ts", ["event_type"], "10 minutes", "1 day", "12 hours")
-    out = s.run_available(counts, "sliding")
+    build = lambda df: s.calendar_counts_stream(df, "ts", ["event_type"], "10 minutes", "1 day", "12 hours")
+    out = s.run_to_the_end(stream(t), "ts", build, "sliding")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "event_type", "events")
 
 
@@ -124,14 +124,13 @@ def streamed_enrichment(t: Tables) -> DataFrame:
     """WITH d AS (SELECT user_id, event_id, ts, to_microseconds(CAST(1000000 * floor(value) AS BIGINT)) + INTERVAL 30 MINUTE - to_microseconds(1) AS hold FROM events),
     e AS (SELECT *, max(ts + hold) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM d),
     g AS (SELECT *, sum(CASE WHEN until IS NULL OR ts > until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
-    v AS (SELECT user_id, b, min(ts) AS block_start, count(*) AS sentences, max(ts + hold) AS until FROM g GROUP BY ALL)
-    SELECT user_id, strftime(block_start, '%Y-%m-%d %H:%M:%S') AS block_start, sentences FROM v
-    WHERE until <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+    v AS (SELECT user_id, b, min(ts) AS block_start, count(*) AS sentences FROM g GROUP BY ALL)
+    SELECT user_id, strftime(block_start, '%Y-%m-%d %H:%M:%S') AS block_start, sentences FROM v"""
 )
 def streamed_pause_blocks(t: Tables) -> DataFrame:
     """Events as utterances that last ``value`` seconds, a pause of half an hour between blocks."""
-    blocks = s.pause_blocks_stream(stream(t), "user_id", "ts", F.floor("value"), 1800, "10 minutes")
-    out = s.run_available(blocks, "pauses")
+    build = lambda df: s.pause_blocks_stream(df, "user_id", "ts", F.floor("value"), 1800, "10 minutes")
+    out = s.run_to_the_end(stream(t), "ts", build, "pauses")
     return out.select("user_id", F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block_start"), "sentences")
 
 

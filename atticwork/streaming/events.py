@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.camera import event_summary, valid_messages, wanted_messages
 from ..session import shared_dir
 
+# Later than any event.
+END_OF_TIME = "9000-01-01 00:00:00"
+
 # Set while a query starts: state on disk, and visits merged within a task before they are shuffled.
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,18 +37,38 @@ def event_stream(spark: SparkSession, path: str | None = None, kafka: dict[str,
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table of the folder as a stream, times made zoned so that they can carry a watermark."""
-    schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A parquet table of the folder as a stream, one file or a folder of part files; times are made zoned so that
+    they can carry a watermark."""
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    df = reader.parquet(directory)
+    # As a pattern the path may name a file as well as a folder.
+    df = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     for field in schema:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
 
 
+def finite(stream: DataFrame, ts: str, folder: str) -> DataFrame:
+    """The stream of an input that has an end: ``close_stream`` on the same folder can later add a row without values
+    and with a time after all others, which moves the watermark past every open visit or window."""
+    spark = stream.sparkSession
+    source = f"{folder}/closing"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(source)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(source))
+
+
+def close_stream(stream: DataFrame, ts: str, folder: str) -> None:
+    spark = stream.sparkSession
+    row = spark.range(1).select(
+        *[(F.lit(END_OF_TIME).cast("timestamp") if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema]
+    )
+    row.write.mode("append").parquet(f"{folder}/closing")
+
+
 def filter_events(stream: DataFrame, labels: list[str]) -> DataFrame:
     """Summaries of messages that name a label and have video; stateless."""
     return event_summary(wanted_messages(stream, labels))
@@ -125,13 +148,9 @@ def repeat_alerts(visits: DataFrame, key: str, ttl_ms: int | None = None) -> Dat
     )
 
 
-def follow(table: DataFrame) -> DataFrame:
-    """The stream of what is and will be written to the folder of a parquet table."""
-    spark = table.sparkSession
-    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
-    if len(folders) != 1:
-        raise ValueError("the table must have its files in one folder")
-    return spark.readStream.schema(table.schema).parquet(folders.pop())
+def follow(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The stream of what is and will be written by ``run_available`` to its folder."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/data")
 
 
 def calendar_counts_stream(stream: DataFrame, ts: str, keys: list[str], delay: str, width: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -162,26 +181,41 @@ def enrich(stream: DataFrame, static: DataFrame, on: str) -> DataFrame:
     return stream.join(static, on, "left")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, then=None) -> DataFrame:
     """Process what is there, into a table of the shared folder, and read it back.
 
-    State goes to RocksDB, which keeps it on disk and is what keyed processors need, in as many partitions
-    as the cluster has cores. The settings are read when the query starts and put back afterwards.
+    With ``folder`` the table and the checkpoint are kept there, and a later run goes on where this one ended. ``then`` is
+    called after the first pass, and what it has added is processed too (see ``finite``). State goes to RocksDB,
+    which keeps it on disk and is what keyed processors need, in as many partitions as the cluster has cores. The
+    settings are read when the query starts and put back afterwards.
     """
     spark = stream.sparkSession
-    out = shared_dir(spark, name)
+    out = folder or shared_dir(spark, name)
     wanted = {**STREAM_CONF, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
     before = {key: spark.conf.get(key, None) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
+
+    def once() -> None:
         query = (
             stream.writeStream.format("parquet").outputMode(mode)
             .option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
+
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        once()
+        if then is not None:
+            then()
+            once()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+def run_to_the_end(stream: DataFrame, ts: str, build, name: str, folder: str | None = None) -> DataFrame:
+    """``build(stream)`` over an input that has an end, what is open at the end included."""
+    out = folder or shared_dir(stream.sparkSession, name)
+    return run_available(build(finite(stream, ts, out)), name, folder=out, then=lambda: close_stream(stream, ts, out))

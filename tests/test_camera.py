@@ -130,3 +130,8 @@ def test_rows_without_time_come_last(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", base), (3, "a", None)], "id long, k string, ts timestamp")
     got = {r.id: r.is_new for r in gaps.gap_flag(df, "k", "ts", F.expr("interval 1 minute"), ["id"]).collect()}
     assert got == {2: 1, 1: 0, 3: 1}
+
+
+def test_label_words_match_only_themselves(spark):
+    df = spark.createDataFrame([('{"label": "axb"}',), ('{"label": "a.b"}',)], "p string")
+    assert [r.v for r in df.select(pl.has_token("p", ["a.b"]).alias("v")).collect()] == [False, True]

@@ -185,3 +185,12 @@ def test_crop_box_is_padded_and_clamped(spark):
     assert tuple(one) == (0, 0, 120, 100)
     none = spark.range(1).select(crop_box(lit(0), lit(0), lit(1), lit(1), lit(0), lit(None).cast("int"), lit(8), lit(8)).alias("b")).first().b
     assert tuple(none) == (0, 0, 8, 8)
+
+
+def test_wanted_labels_without_assets_are_emptied_or_created(spark):
+    schema = "label string, asset_id int"
+    target = spark.createDataFrame([("kept", 1)], schema)
+    current = spark.createDataFrame([("kept", 1), ("empty", 2), ("other", 3)], schema)
+    asked = spark.createDataFrame([("empty",), ("new",), ("kept",)], "label string")
+    plan = people.sync_plan(target, current, wanted=asked).collect()
+    assert sorted(map(tuple, plan), key=repr) == [("empty", 2, "remove", False), ("new", None, "create", True)]

@@ -72,8 +72,9 @@ def test_alert_needs_more_than_the_gap(spark, tmp_path):
     hour = 3600
     batches = [[("a", at(0), 1), ("b", at(0), 2)], [("a", at(2 * hour), 3), ("b", at(2 * hour + 1), 4)], [("z", at(900 * hour), 5)]]
     stream = feed(spark, tmp_path, batches, VISITS)
-    visits = s.run_available(s.visit_sessions(stream, "k", "ts", "2 hours", "10 minutes").drop("_s"), "t-day")
-    out = s.run_available(s.repeat_alerts(s.follow(visits), "k"), "t-alerts").collect()
+    folder = str(tmp_path / "day")
+    visits = s.run_available(s.visit_sessions(stream, "k", "ts", "2 hours", "10 minutes").drop("_s"), "t-day", folder=folder)
+    out = s.run_available(s.repeat_alerts(s.follow(spark, folder, visits.schema), "k"), "t-alerts").collect()
     # "a" is back after exactly two hours, which is one visit; "b" comes one second later.
     assert [(r.person_id, r.last_seen, r.seen_again) for r in out] == [("b", at(0), at(2 * hour + 1))]
 
@@ -102,3 +103,39 @@ def test_filter_and_enrichment_of_messages(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark, "x").startswith(root) and shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_tables_of_one_file_and_of_parts(spark, tmp_path):
+    spark.range(50).withColumn("ts", F.lit(BASE)).repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    out = s.run_available(s.table_stream(spark, str(tmp_path), "events"), "t-parts")
+    assert out.count() == 50
+    part = next((tmp_path / "events.parquet").glob("part-*"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "events.parquet").write_bytes(part.read_bytes())
+    out = s.run_available(s.table_stream(spark, str(tmp_path / "one"), "events"), "t-one")
+    assert out.count() == spark.read.parquet(str(part)).count() > 0
+
+
+def test_open_visits_are_closed_at_the_end(spark, tmp_path):
+    stream = feed(spark, tmp_path, visit_batches(), VISITS)
+    build = lambda df: s.visit_sessions(df, "k", "ts", "1 minute", "10 minutes").drop("_s")
+    out = s.run_to_the_end(stream, "ts", build, "t-end")
+    assert [r.events for r in out.filter("k = 'z'").collect()] == [1]
+    assert out.filter("k IS NULL").count() == 0
+    assert out.agg(F.sum("events")).first()[0] == 11
+
+
+def test_a_second_run_goes_on(spark, tmp_path):
+    stream = feed(spark, tmp_path, [[("x", at(0)), ("y", at(1))]], "h string, ts timestamp")
+    build = s.ingest_stream(stream, ["h"], "ts", "1 hour")
+    folder = str(tmp_path / "kept")
+    assert s.run_available(build, "t-resume", folder=folder).count() == 2
+    spark.createDataFrame([("x", at(2)), ("z", at(3))], "h string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(r.h for r in s.run_available(build, "t-resume", folder=folder).collect()) == ["x", "y", "z"]
+
+
+def test_alerts_without_visits(spark, tmp_path):
+    stream = feed(spark, tmp_path, [[]], VISITS)
+    folder = str(tmp_path / "none")
+    visits = s.run_available(s.visit_sessions(stream, "k", "ts", "2 hours", "10 minutes").drop("_s"), "t-none", folder=folder)
+    assert s.run_available(s.repeat_alerts(s.follow(spark, folder, visits.schema), "k"), "t-none-alerts").count() == 0
