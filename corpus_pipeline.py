@@ -36,9 +36,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids, sequence and place. Copies of a document are pieces of their own."""
-    pieces = written(packing.token_pieces(docs.select("doc_id", "text")), "pieces")
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
+    """Token pieces with sequence and place; a piece's ids are its document's from start on, and their crc32 tells that they
+    are the same. Copies of a document are pieces of their own."""
+    pieces = written(packing.token_pieces(docs.select("doc_id", "text"), with_ids=False).drop("ids"), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
