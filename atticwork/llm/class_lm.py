@@ -11,16 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, mix64, partitions_for, per_batch, record, tailed_blocks, written
+from .common import arrow_rows, crc_fold, mix64, partitions_for, per_batch, record, tailed_blocks, written
 
 #: Words that move between classes on their own; all other words, also unseen ones, move with those of the same ending.
 OWN_WORDS = 4096
 ENDINGS = 1024
 ENDING_BYTES = 3
 CLASSES = 48
-ROUNDS = 7
-PAGE_WORDS = 600_000
+ROUNDS = 6
+PAGE_WORDS = 200_000
 GROUP_WORDS = 1_500_000
+#: Rows that go to Python at once: texts, and pages of about a megabyte.
+TEXT_ROWS, PAGE_ROWS = 1000, 4
 ADDED = 0.1
 PRIOR = 5.0
 _END = np.uint64(0x1B873593CC9E2D51)
@@ -206,13 +208,14 @@ def _contexts(stored: DataFrame, own: np.ndarray, own_units: np.ndarray, classes
         total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
         return pa.table({"block": [table.column("block")[0].as_py()], "counts": [total.tobytes()]}, schema=schema)
 
-    rows = (
-        stored.select("training", "lengths", "stream", "words", "endings")
-        .mapInArrow(run, "block int, counts binary")
-        .groupBy("block")
-        .applyInArrow(add, "block int, counts binary")
-        .collect()
-    )
+    with arrow_rows(stored.sparkSession, PAGE_ROWS):
+        rows = (
+            stored.select("training", "lengths", "stream", "words", "endings")
+            .mapInArrow(run, "block int, counts binary")
+            .groupBy("block")
+            .applyInArrow(add, "block int, counts binary")
+            .collect()
+        )
     out = np.zeros((2, _UNITS, CLASSES), np.int64)
     for block, counts in rows:
         part = np.frombuffer(counts, "<i8").reshape(2, -1, CLASSES)
@@ -346,13 +349,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     works on units: the OWN_WORDS commonest words one by one, every other word with the words of its ending, so
     classes have a fixed size while counts of all words and all training tokens enter.
     """
-    stored = written(pages(docs, id_col, text_col, folds), "pages")
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        stored = written(pages(docs, id_col, text_col, folds), "pages")
     entries = stored.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    parts = partitions_for(docs.sparkSession, entries, GROUP_WORDS)
+    parts = partitions_for(spark, entries, GROUP_WORDS)
     asked = stored.select("page", "words", "endings", "counts").mapInArrow(per_batch(_ask(parts), _ASKED), "part int, page long, words binary, endings binary, counts binary")
-    answers = written(asked.groupBy("part").applyInArrow(_answer, _ANSWER_DDL), "answers")
+    with arrow_rows(spark, PAGE_ROWS):
+        answers = written(asked.groupBy("part").applyInArrow(_answer, _ANSWER_DDL), "answers")
     model = fit(stored, answers)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
     left = stored.select("page", "ids", "training", "lengths", "stream", "words", "endings").groupBy("page")
     right = answers.where("kind = 0").select("page", "part", "counts", F.lit(parts).alias("parts")).groupBy("page")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
