@@ -15,7 +15,6 @@ from .ordered import collect_parts, lag_then_group, ranked
 # Fixed values.
 MIN_WINDOW_SECONDS = 5
 WORDS_PER_MINUTE = 150
-LOOK_AHEAD = 9
 SAME_TEXT = 0.8
 
 
@@ -63,34 +62,22 @@ def spread_timestamps(sentences: DataFrame, keys: list[str], order: list[str], s
     )
 
 
-BUCKET_ROWS = 1000
-
-
 def dedupe_overlap(sentences: DataFrame, overlap: float, file: str = "file", id_: str = "id") -> DataFrame:
-    """Drop a sentence when one of the next nine, starting within twice the overlap, says the same
-    (word Jaccard above 0.8). The later copy stays.
+    """Drop a sentence when a later one, starting within twice the overlap, says the same (word Jaccard
+    above 0.8). The later copy stays.
 
-    The look-ahead is a fixed number of rows, so a file is cut into runs of 1000 sentences and the first
-    nine of a run are shown to the run before it as well. No task gets a whole file.
+    A file is cut into stretches of time as long as the look-ahead, and a sentence is shown to its own stretch and to the
+    one before. No task gets a whole file, and the input is read once.
     """
-    placed = ranked(sentences, [file], ["start", id_], "_pos")
-    pos = F.col("_pos") - 1
-    run, offset = F.floor(pos / BUCKET_ROWS), pos % BUCKET_ROWS
-    shown = F.when((offset < LOOK_AHEAD) & (run > 0), F.array(run, run - 1)).otherwise(F.array(run))
-    spread = placed.withColumn("_home", run).withColumn("_words", F.array_distinct(t.words("text")))
-    spread = spread.withColumn("_run", F.explode(shown))
-    ahead = W.partitionBy(file, "_run").orderBy("_pos").rowsBetween(1, LOOK_AHEAD)
-    near = F.collect_list(F.struct("start", F.col("_words").alias("words"))).over(ahead)
-    repeated = F.exists(
-        "_near",
-        lambda n: (n["start"] <= F.col("start") + 2 * overlap) & (t.jaccard(F.col("_words"), n["words"]) > SAME_TEXT),
-    )
-    return (
-        spread.withColumn("_near", near)
-        .filter("_run = _home")
-        .filter(~repeated)
-        .drop("_pos", "_home", "_words", "_run", "_near")
-    )
+    reach = 2.0 * overlap
+    stretch = F.floor(F.col("start") / F.lit(max(reach, 1.0)))
+    spread = sentences.withColumn("_home", stretch).withColumn("_words", F.array_distinct(t.words("text")))
+    spread = spread.withColumn("_run", F.explode(F.array(F.col("_home"), F.col("_home") - 1)))
+    ahead = W.partitionBy(file, "_run").orderBy("start").rangeBetween(0, reach)
+    near = F.collect_list(F.struct("start", F.col(id_).alias("id"), F.col("_words").alias("words"))).over(ahead)
+    later = lambda n: (n["start"] > F.col("start")) | ((n["start"] == F.col("start")) & (n["id"] > F.col(id_)))
+    repeated = F.exists("_near", lambda n: later(n) & (t.jaccard(F.col("_words"), n["words"]) > SAME_TEXT))
+    return spread.withColumn("_near", near).filter("_run = _home").filter(~repeated).drop("_home", "_words", "_run", "_near")
 
 
 def pause_blocks(sentences: DataFrame, min_pause: float, file: str = "file", id_: str = "id") -> DataFrame:

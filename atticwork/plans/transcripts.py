@@ -49,7 +49,7 @@ def sentence_times(t: Tables) -> DataFrame:
     rf"""WITH {_SENT},
     w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start, id) AS pos,
                  list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS words FROM s),
-    d AS (SELECT DISTINCT a.file, a.id FROM w a JOIN w b ON a.file = b.file AND b.pos BETWEEN a.pos + 1 AND a.pos + 9
+    d AS (SELECT DISTINCT a.file, a.id FROM w a JOIN w b ON a.file = b.file AND b.pos > a.pos
           AND b.start <= a.start + 2 * 40 AND len(list_intersect(a.words, b.words)) * 1.0
               / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) > 0.8)
     SELECT file, id FROM s WHERE (file, id) NOT IN (SELECT (file, id) FROM d)"""

@@ -1,9 +1,11 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the package on the workers and the shared scratch folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +26,30 @@ def build_session(app: str = "atticwork", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; they do not share the driver's ``sys.path``."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="atticwork-ship-"), "atticwork.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(home)))
+    # Spark copies the file to every worker; nothing reads this local one later.
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
