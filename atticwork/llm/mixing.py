@@ -116,19 +116,27 @@ def _cuts(rows: DataFrame) -> DataFrame:
     )
     inside = rows.where("bucket IS NOT NULL").join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("cut")))
     run = Window.partitionBy("source").orderBy("order", "h").rowsBetween(Window.unboundedPreceding, 0)
-    # The last document comes in if at least half of it is still needed.
     edge = (
-        inside.withColumn("half", F.sum("size").over(run) - F.col("size") / 2)
-        .where(F.col("half") <= F.col("need"))
+        inside.withColumn("used", F.sum("size").over(run))
+        .where(F.col("used") <= F.col("need"))
         .groupBy("source")
-        .agg(F.max(F.struct("order", "h")).alias("last"))
+        .agg(F.max(F.struct("order", "h")).alias("last"), F.max("used").alias("used"))
         .withColumnRenamed("source", "e_source")
     )
-    return (
+    limits = (
         rest.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
         .join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left")
-        .select(F.col("source").alias("s_source"), "rest", "cut", "last")
+        .select(F.col("source").alias("s_source"), "rest", "cut", "last", (F.col("need") - F.coalesce("used", F.lit(0))).alias("short"))
     )
+    limits = written(limits, "mix-limits")
+    # One more document, the one whose size is nearest to the words that are still missing.
+    place = F.struct("order", "h")
+    beyond = (F.col("bucket") > F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(place > F.col("last"), F.lit(True)))
+    spare = rows.where("bucket IS NOT NULL").join(limits, F.col("source").eqNullSafe(F.col("s_source"))).where(beyond)
+    off = F.abs(F.col("size") - F.col("short"))
+    best = spare.where(off < F.col("short")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "h")).alias("b"))
+    best = best.select(F.col("source").alias("b_source"), F.struct("b.order", "b.h").alias("extra"))
+    return limits.join(best, F.col("s_source").eqNullSafe(F.col("b_source")), "left").select("s_source", "rest", "cut", "last", "extra")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id",
@@ -139,8 +147,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     A document's expected copies are e = min(cap, level * gain^floor(log2 size)); the level of a source makes the
     expected words equal to the target. The whole part of e is certain. The rest p gives inclusion odds, and the
     documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u from a seeded hash of id and text: Pareto order
-    sampling. The first documents in this order are taken until the source's words reach the target, the last one
-    only if that brings them nearer. The order is cut in two steps (buckets of odds, then rows of the one bucket
+    sampling. The first documents in this order are taken while the source's words stay within the target, and one more,
+    the one whose size comes nearest to what is missing. The order is cut in two steps (buckets of odds, then rows of the one bucket
     that the target falls into), so a source with a third of all rows is no single task.
 
     Sizes are words; null and empty texts have size 0 and take no copies. A null source is a source of its own.
@@ -158,13 +166,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     light = written(docs.select(*[c.alias(n) for n, c in core.items()]), "mix-sizes")
     plan = written(_per_source_level(light, source_targets(light, weights, cap), cap), "mix-plan")
     cuts = _cuts(written(_with_order(light, plan, cap), "mix-order"))
-    plan = written(plan.join(cuts, F.col("p_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-limits")
+    plan = written(plan.join(cuts, F.col("p_source").eqNullSafe(F.col("s_source"))).drop("s_source"), "mix-final")
     full = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), *[c.alias(n) for n, c in core.items()])
     full = _with_order(full, plan, cap)
     taken = (
         F.when(F.col("bucket").isNull() | (F.col("rest") <= 0), 0)
         .when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1)
         .when((F.col("bucket") == F.col("cut")) & F.coalesce(F.struct("order", "h") <= F.col("last"), F.lit(False)), 1)
+        .when(F.coalesce(F.struct("order", "h") == F.col("extra"), F.lit(False)), 1)
         .otherwise(0)
     )
     return full.select(
