@@ -73,8 +73,11 @@ def dedupe_overlap(sentences: DataFrame, overlap: float, file: str = "file", id_
     stretch = F.floor(F.col("start") / F.lit(max(reach, 1.0)))
     spread = sentences.withColumn("_home", stretch).withColumn("_words", F.array_distinct(t.words("text")))
     spread = spread.withColumn("_run", F.explode(F.array(F.col("_home"), F.col("_home") - 1)))
-    ahead = W.partitionBy(file, "_run").orderBy("start").rangeBetween(0, reach)
-    near = F.collect_list(F.struct("start", F.col(id_).alias("id"), F.col("_words").alias("words"))).over(ahead)
+    # The Python window takes whole numbers only as a range.
+    near = F.expr(
+        f"collect_list(struct(`start`, `{id_}` AS id, _words AS words)) OVER "
+        f"(PARTITION BY `{file}`, _run ORDER BY `start` RANGE BETWEEN CURRENT ROW AND {reach!r}D FOLLOWING)"
+    )
     later = lambda n: (n["start"] > F.col("start")) | ((n["start"] == F.col("start")) & (n["id"] > F.col(id_)))
     repeated = F.exists("_near", lambda n: later(n) & (t.jaccard(F.col("_words"), n["words"]) > SAME_TEXT))
     return spread.withColumn("_near", near).filter("_run = _home").filter(~repeated).drop("_home", "_words", "_run", "_near")
