@@ -19,10 +19,10 @@ ENDINGS = 1024
 ENDING_BYTES = 3
 CLASSES = 48
 ROUNDS = 6
-PAGE_WORDS = 200_000
+PAGE_WORDS = 150_000
 GROUP_WORDS = 1_500_000
 #: Rows that go to Python at once: texts, and pages of about a megabyte.
-TEXT_ROWS, PAGE_ROWS = 1000, 4
+TEXT_ROWS, PAGE_ROWS = 500, 4
 ADDED = 0.1
 PRIOR = 5.0
 _END = np.uint64(0x1B873593CC9E2D51)

@@ -39,6 +39,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Texts that go to Python at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lower the session's Arrow batches to so many rows: whole texts are kilobytes each, and both sides hold a batch in memory.
+
+    The frames that operators return run later, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
@@ -61,7 +75,7 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 # Words in numpy: one pass over the bytes of an Arrow batch, no Python object per word.
 
 #: Bytes of text that are turned into words at once; arrays of eight bytes per text byte stay small.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -235,6 +249,7 @@ def add_columns(df: DataFrame, text: str, compute, fields: list[tuple[str, pa.Da
 
     Input columns of the same names are replaced. Without keep_text the text does not travel back.
     """
+    text_batches(df.sparkSession)
     names = [n for n, _, _ in fields]
     source = df.drop(*names)
     kept = [n for n in source.columns if keep_text or n != text]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions_for, per_batch, record, shingles, word_blocks, written
+from .common import mix64, partitions_for, per_batch, record, shingles, text_batches, word_blocks, written
 from .components import components
 
 #: Rounds in which each prefix n-gram offers only one partner; groups of near copies become one component there.
@@ -243,6 +243,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     one partner only; what is left after that is compared in full, but only between different components, so no
     bucket emits all of its pairs.
     """
+    text_batches(docs.sparkSession)
     rows = written(shingle_sets(docs, words, id_col, text_col), "shingle-sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
     sets = written(candidate_sets(docs, words, percent, total, text_col), "candidate-sets")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import per_batch, single_threaded, written
+from .common import per_batch, single_threaded, text_batches, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -65,6 +65,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    text_batches(docs.sparkSession)
     state: dict = {}
 
     def encode(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -78,7 +79,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                 raw = ids[a:b].tobytes()
                 rows.append((doc, key, piece, a, b - a, zlib.crc32(raw), raw if with_ids else None))
                 held += len(raw)
-            if held > 16 << 20:
+            if held > 4 << 20 or len(rows) > 20_000:
                 yield dict(zip(_PIECES.names, map(list, zip(*rows, strict=True)), strict=True))
                 rows, held = [], 0
         if rows:
