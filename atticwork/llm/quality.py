@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _bytes_of, add_columns, crc_fold, mix64, per_batch, word_blocks
+from .common import _bytes_of, add_columns, crc_fold, mix64, per_batch, text_batches, word_blocks
 
 BITS = 18
 #: Upper bound of the labelled rows that the model is fitted on, drawn by a hash of their id.
@@ -129,6 +129,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
                 "ids": [keys[at:to].astype(np.int64).tobytes()],
             }
 
+    text_batches(docs.sparkSession)
     picked = docs.join(F.broadcast(sample), docs[id_col] == sample["s_id"]).select(
         F.col(text_col).alias("text"), "label", F.xxhash64("s_id", F.lit(11)).alias("key")
     )
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     features = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows] or [np.zeros(0, np.int32)])
     labels = np.concatenate([np.frombuffer(r[2], np.int8) for r in rows] or [np.zeros(0, np.int8)])
     keys = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+    del rows
     return fit_arrays(counts, features, labels, keys)
 
 
@@ -152,20 +154,21 @@ def fit_arrays(counts: np.ndarray, features: np.ndarray, labels: np.ndarray, key
     training = training[np.argsort(keys[training], kind="stable")]
     if not (positive[training].any() and (~positive[training]).any()):
         training = calibration = order
-    owner = np.repeat(np.arange(len(labels)), counts)
     in_training = np.zeros(len(labels), bool)
     in_training[training] = True
-    use = in_training[owner]
     size = 1 << BITS
-    p = SMOOTHING + np.bincount(features[use & positive[owner]], minlength=size)
-    q = SMOOTHING + np.bincount(features[use & ~positive[owner]], minlength=size)
+    p, q = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
+    for a, b in _chunks(len(labels)):
+        own = features[starts[a] : starts[b]]
+        for total, label in ((p, positive), (q, ~positive)):
+            total += np.bincount(own[np.repeat((in_training & label)[a:b], counts[a:b])], minlength=size)
     ratio = np.log(p / (SMOOTHING + positive[training].sum())) - np.log(q / (SMOOTHING + (~positive[training]).sum()))
 
     # Dual coordinate descent for hinge loss: one multiplier per document, 0 to PENALTY, weighed by class.
     w, bias = np.zeros(size), 0.0
     alpha = np.zeros(len(labels))
     norm = np.sqrt(np.maximum(1, counts))
-    squares = np.bincount(owner, (ratio * ratio)[features], len(labels)) / norm**2 + 1
+    squares = _sums(ratio * ratio, features, starts) / norm**2 + 1
     share = positive[training].mean()
     most = PENALTY * np.where(positive, 0.5 / share, 0.5 / (1 - share))
     sign = np.where(positive, 1.0, -1.0)
@@ -187,11 +190,25 @@ def fit_arrays(counts: np.ndarray, features: np.ndarray, labels: np.ndarray, key
             break
     weights = ((1 - MIXED) * np.abs(w).mean() + MIXED * w) * ratio
 
-    margin = np.bincount(owner, weights[features], len(labels)) / norm + bias
+    margin = _sums(weights, features, starts) / norm + bias
     slope, shift = _platt(margin[calibration], positive[calibration])
     return QualityModel(weights, bias, slope, shift)
 
 
+def _chunks(rows: int, step: int = 500) -> Iterator[tuple[int, int]]:
+    return ((a, min(a + step, rows)) for a in range(0, rows, step))
+
+
+def _sums(weights: np.ndarray, features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each row's features; a few hundred rows at a time, as the driver is small."""
+    out = np.empty(len(starts) - 1)
+    for a, b in _chunks(len(out)):
+        upto = np.concatenate([[0.0], np.cumsum(weights[features[starts[a] : starts[b]]])])
+        at = starts[a : b + 1] - starts[a]
+        out[a:b] = upto[at[1:]] - upto[at[:-1]]
+    return out
+
+
 def _platt(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve through held-back margins, with Platt's smoothed targets, by Newton steps."""
     yes, no = positive.sum(), (~positive).sum()
