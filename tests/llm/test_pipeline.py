@@ -57,6 +57,14 @@ def test_packing_holds_every_token(stages):
     assert stages[5].where("piece = 0").count() == stages[4].count()
 
 
+def test_packed_ids_are_those_of_the_mixed_texts(stages):
+    assert stages[5].where("ids IS NULL OR length(ids) <> 4 * length OR crc32(ids) <> ids_crc32").count() == 0
+    columns = ["doc_id", "piece", "start", "ids"]
+    wanted = packing.token_pieces(stages[4].select("doc_id", "text")).select(columns)
+    assert stages[5].select(columns).exceptAll(wanted).count() == 0
+    assert wanted.exceptAll(stages[5].select(columns)).count() == 0
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
