@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, crc_fold, written
 
-ASSIGNED = r"""(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}[:=]\s{0,3}["']?)"""
+ASSIGNED = r"""(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}[:=]\s{0,3})"""
 LONG = r"[A-Za-z0-9_+/=-]{20,}"
-CANDIDATE = ASSIGNED + r"[A-Za-z0-9_+/=.-]{8,}|" + LONG
+#: An assigned value: the whole string up to its closing quote on the same line, or the run up to white space, however short.
+#: Signs that end a statement or a bracket behind a run without quotes are not part of it.
+QUOTED = r"""(?:"(?:[^"\\\r\n]|\\.)+(?=")|'(?:[^'\\\r\n]|\\.)+(?='))"""
+BARE = r"""["']?[^\s"']\S*?(?=["'),;\]}>]*(?:\s|$))"""
+#: user:pass@ of a URL; the user goes to the text before.
+LOGIN = r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/?#@\"']{0,128}:"
+URL_PASS = r"[^\s/\"'@](?:[^\s/\"']*[^\s/\"'@])?(?=@)"
+CANDIDATE = f"{ASSIGNED}(?:{QUOTED}|{BARE})|{LOGIN}{URL_PASS}|{LONG}"
 #: Upper bound of the labelled findings that the forest is fitted on, drawn by a hash.
 SAMPLE_ROWS = 20_000
 #: Upper bound of the dictionary: the commonest words of at least four letters over all texts; it is broadcast.
@@ -36,7 +43,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, path, start, value, rule, before, after) for every candidate of each whole text.
 
     ``start`` counts code points from 0. The rule is assigned (the value follows a credential word and a sign of
-    assignment) or long (20 characters or more). before and after hold up to CONTEXT characters.
+    assignment: a whole quoted string, or the run up to white space), url (the password of user:password@ in a URL) or
+    long (20 characters or more). before and after hold up to CONTEXT characters.
     """
     found = docs.select(
         F.col(id_col).alias("doc_id"), (F.col(path_col) if path_col else F.lit(None).cast("string")).alias("path"), F.col(text_col).alias("text")
@@ -58,9 +66,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "path", "hit", F.element_at("starts", F.col("i") + 1).alias("at"),
         F.substring(F.element_at("gaps", F.col("i") + 1), -CONTEXT, CONTEXT).alias("gap"), F.substring(F.element_at("gaps", F.col("i") + 2), 1, CONTEXT).alias("after"),
     )
-    value = F.regexp_replace("hit", "^" + ASSIGNED + r"(?=.{8})", "")
+    value = F.regexp_replace("hit", f"^(?:{ASSIGNED}[\"']?|{LOGIN})(?=.)", "")
     rows = rows.withColumn("value", value).withColumn("lead", F.expr("left(hit, char_length(hit) - char_length(value))"))
-    rule = F.when(F.col("lead") != "", F.lit("assigned")).otherwise(F.lit("long"))
+    rule = F.when(F.col("lead") == "", F.lit("long")).when(F.col("lead").rlike(f"^{LOGIN}$"), F.lit("url")).otherwise(F.lit("assigned"))
     return rows.select(
         "doc_id", "path", (F.col("at") + F.char_length("lead")).cast("long").alias("start"), "value", rule.alias("rule"), F.concat("gap", "lead").alias("before"), "after"
     )
@@ -104,12 +112,12 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "vowels": _count("value", "[aeiouAEIOU]") / length,
         "path_sample": F.coalesce(F.col("path").rlike(r"(?i)(test|example|sample|fixture|mock|doc)"), F.lit(False)),
         "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)),
-        "assigned": F.col("rule") == "assigned",
+        "assigned": F.col("rule") != "long",
         "quoted": F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']"),
         "credential_word": F.col("before").rlike(CREDENTIAL_WORDS),
         "digest_word": F.col("before").rlike(DIGEST_WORDS),
         "sample_word": F.col("value").rlike(SAMPLE_VALUE) | F.col("before").rlike(SAMPLE_BEFORE),
-        "link": F.col("before").rlike(LINKS),
+        "link": (F.col("rule") != "url") & F.col("before").rlike(LINKS),
         "known": F.col("value").rlike(KNOWN_FORMATS),
         **{f"share_{k}": _count("value", p) / length for k, p in _KINDS.items()},
         **{f"{a}_{b}": _count("value", f"(?<={p})(?={q})") / length for a, p in _KINDS.items() for b, q in _KINDS.items()},

@@ -75,3 +75,27 @@ def test_empty_and_without_findings(spark):
     docs = spark.createDataFrame(made()[0], "doc_id long, text string, source string")
     assert secrets_forest.query(docs.where(F.lit(False))).collect() == []
     assert secrets_forest.scan(docs.where("text LIKE 'plain%'").select("doc_id", "text"), path_col=None).collect() == []
+
+
+def test_whole_values_are_found(spark):
+    texts = {
+        'password = "Pa$$w0rd!23" # end': ("Pa$$w0rd!23", "assigned"),
+        "pwd: 'a b\"c%d'": ('a b"c%d', "assigned"),
+        "postgres://app:s3cr!t@db/x": ("s3cr!t", "url"),
+        "redis://:p:w@h": ("p:w", "url"),
+        "secret=ab1": ("ab1", "assigned"),
+        "(token=x%41&y);": ("x%41&y", "assigned"),
+        'token = "never closed': ("never", "assigned"),
+        'auth: "Ab\\"c" z': ('Ab\\"c', "assigned"),
+        "password = " + "Ab3" * 9: ("Ab3" * 9, "assigned"),
+        "see " + "Ab3" * 9: ("Ab3" * 9, "long"),
+        "password: ": None,
+        "https://host:80/path": None,
+    }
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {}
+    for r in secrets_forest.candidates(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.value, r.rule))
+        assert list(texts)[r.doc_id][r.start :].startswith(r.value)
+    for i, wanted in enumerate(texts.values()):
+        assert got.get(i, []) == ([wanted] if wanted else []), (i, got.get(i))
