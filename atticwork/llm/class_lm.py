@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ OWN_WORDS = 4096
 ENDINGS = 1024
 ENDING_BYTES = 3
 CLASSES = 48
-ROUNDS = 6
+#: Rounds of exchange at least; they go on as long as the information rises.
+ROUNDS = 7
 PAGE_WORDS = 150_000
 GROUP_WORDS = 1_500_000
 #: Rows that go to Python at once: texts, and pages of about a megabyte.
@@ -267,15 +269,17 @@ def fit(stored: DataFrame, answers: DataFrame) -> ClassModel:
     # Start: own words by rank, endings by number, dealt in turn; rounds of exchange over all training tokens.
     classes = np.concatenate([[0], 1 + np.arange(OWN_WORDS) % (CLASSES - 1), 1 + np.arange(ENDINGS) % (CLASSES - 1)])
     chosen: tuple[float, np.ndarray, np.ndarray] | None = None
-    for turn in range(ROUNDS + 1):
+    for turn in count():
         before, after = _contexts(stored, own, own_units, classes)
         bigrams = np.zeros((CLASSES, CLASSES), np.int64)
         np.add.at(bigrams.T, classes, before)
         value = _information(bigrams)
-        if chosen is None or value > chosen[0]:
+        rises = chosen is None or value > chosen[0]
+        if rises:
             chosen = (value, classes, bigrams)
-        if turn < ROUNDS:
-            classes = _exchange(before, after, classes, turn)
+        if turn >= ROUNDS and not rises:
+            break
+        classes = _exchange(before, after, classes, turn)
     assert chosen is not None
     _, classes, bigrams = chosen
 

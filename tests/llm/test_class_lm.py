@@ -78,3 +78,10 @@ def test_no_training_rows_and_empty(spark):
     rows = class_lm.query(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert rows[0].train_tokens == 0 and rows[0].base_score == 0 and math.isfinite(rows[0].score)
     assert class_lm.query(spark.createDataFrame(made(), "doc_id long, text string").where(F.lit(False))).collect() == []
+
+
+def test_exchange_goes_on_while_the_information_rises(spark, monkeypatch):
+    values = []
+    monkeypatch.setattr(class_lm, "_information", lambda bigrams: values.append(min(len(values), 9)) or float(values[-1]))
+    class_lm.score_texts(spark.createDataFrame(made()[:60], "doc_id long, text string"))
+    assert values == [*range(10), 9]
