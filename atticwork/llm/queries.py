@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chaining, class_lm, cover_tree, cross_polytope, line_dedup, mixing, ngram_join, packing, quality, secrets_forest
+from . import chaining, class_lm, cover_tree, cross_polytope, gnat_codes, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, secrets_forest, url_filter
 from .common import table
 
 
@@ -48,12 +48,28 @@ def op10_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
     return cross_polytope.query(table(spark, directory, "embeddings"))
 
 
+def op11_url_filter(spark: SparkSession, directory: str) -> DataFrame:
+    return url_filter.query(spark, table(spark, directory, "pages"))
+
+
+def op12_gnat_codes(spark: SparkSession, directory: str) -> DataFrame:
+    return gnat_codes.query(table(spark, directory, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    return prefix_trie.query(table(spark, directory, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_cover_tree, op2_ngram_join, op3_line_dedup, op4_best_fit_packing, op5_quality,
         op6_secret_scan, op7_class_lm, op8_mixing, op9_substring_chaining, op10_cross_polytope,
+        op11_url_filter, op12_gnat_codes, op13_prefix_trie,
     )
 }
 #: The others cannot be written in SQL; tests hold them against brute force, round trips or held-out rows.
-SQL = {"op1_cover_tree": cover_tree.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+SQL = {
+    "op1_cover_tree": cover_tree.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op11_url_filter": url_filter.ORACLE,
+    "op12_gnat_codes": gnat_codes.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE,
+}
