@@ -34,8 +34,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def rank_copies(df: DataFrame, key: str, order: list[str], name: str = "row_num") -> DataFrame:
-    """Repeated rows numbered within their key."""
-    return ranked(duplicate_rows(df, key), [key], order, name)
+    """Repeated rows numbered within their key. Number and count of a key come from the same pass."""
+    return ranked(df.filter(F.col(key).isNotNull()), [key], order, name, count="_copies").filter("_copies > 1").drop("_copies")
 
 
 def same_path_duplicates(assets: DataFrame, key: str, path: str, id_: str) -> DataFrame:
@@ -149,7 +149,7 @@ def export_groups(files: DataFrame, hash_: str = "hash", size: str = "size", pat
     always that of the whole group.
     """
     groups = duplicate_groups(files, hash_, size, path).select(hash_, "file_count", "size", "first_path")
-    members = in_parts(duplicate_rows(files.select(hash_, path), hash_), [hash_], [path], F.col(path), "paths")
+    members = in_parts(files.select(hash_, path).filter(F.col(hash_).isNotNull()), [hash_], [path], F.col(path), "paths")
     return members.join(groups, hash_).select(
         hash_, "file_count", "size", "part", F.array_join("paths", "|").alias("file_paths")
     )

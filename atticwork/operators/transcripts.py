@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ordered import collect_parts, lag_then_group, ranked
+from .ordered import grouped_parts, ranked
 
 # Fixed values.
 MIN_WINDOW_SECONDS = 5
@@ -86,16 +86,17 @@ def dedupe_overlap(sentences: DataFrame, overlap: float, file: str = "file", id_
 def pause_blocks(sentences: DataFrame, min_pause: float, file: str = "file", id_: str = "id") -> DataFrame:
     """Text blocks split where the pause reaches ``min_pause``; one sentence per line, blocks of more
     than 1000 sentences in parts."""
-    grouped = lag_then_group(
-        sentences,
+    parts = grouped_parts(
+        sentences.select(file, id_, "start", "end", "text"),
         [file],
         ["start", id_],
         "end",
         lambda d: F.when(d["prev_end"].isNotNull() & (d["start"] - d["prev_end"] < min_pause), 0).otherwise(1),
-        group="block",
+        "block",
+        F.struct("start", "end", "text"),
+        "items",
         prev="prev_end",
     )
-    parts = collect_parts(grouped, [file, "block"], "place", F.struct("start", "end", "text"), "items")
     return parts.select(
         file,
         "block",
@@ -118,8 +119,8 @@ def speaker_turns(blocks: DataFrame, min_pause: float, file: str = "file", id_:
     ended = blocks.withColumn(
         "_was", F.struct("speaker", speaking_end(F.col("start_sec"), F.col("text")).alias("end"))
     )
-    turns = lag_then_group(
-        ended,
+    parts = grouped_parts(
+        ended.select(file, id_, "start_sec", "speaker", "text", "_was"),
         [file],
         ["start_sec", id_],
         "_was",
@@ -129,11 +130,11 @@ def speaker_turns(blocks: DataFrame, min_pause: float, file: str = "file", id_:
             & (d["start_sec"] - d["_prev.end"] < min_pause),
             0,
         ).otherwise(1),
-        group="turn",
+        "turn",
+        F.struct("start_sec", "speaker", "text"),
+        "items",
         prev="_prev",
     )
-    item = F.struct("start_sec", "speaker", "text")
-    parts = collect_parts(turns, [file, "turn"], "place", item, "items")
     first = F.get("items", F.lit(0))
     return parts.select(
         file,

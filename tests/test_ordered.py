@@ -109,3 +109,42 @@ def test_split_choice_does_not_change_results(rows, monkeypatch):
     for points in (16, 64, 4096):
         monkeypatch.setattr(ordered, "POINTS", points)
         assert plain == sorted(map(str, ordered.ranked(rows, ["k"], ["id"]).select("id", "row_num").collect()))
+
+
+@pytest.mark.parametrize("scan", ["ranked", "lagged", "groups", "sum", "parts", "grouped_parts"])
+def test_one_exchange_of_the_rows(spark, rows, split_everything, tmp_path, scan):
+    path = str(tmp_path / "rows")
+    rows.withColumn("text", F.lit("full row")).write.parquet(path)
+    table = spark.read.parquet(path)
+    keys, order = ["k"], ["ts", "id"]
+    flag = lambda d: F.when(d["p"].isNull() | (d["p"] != d["v"]), 1).otherwise(0)
+    made = {
+        "ranked": lambda: ordered.ranked(table, keys, order, count="n"),
+        "lagged": lambda: ordered.lagged(table, keys, order, "v", "p"),
+        "groups": lambda: ordered.lag_then_group(table, keys, order, "v", flag, "g", "p"),
+        "sum": lambda: ordered.running_sum(table, keys, order, "v", "s"),
+        "parts": lambda: ordered.in_parts(table, keys, order, F.struct("id", "text"), "ids", 50),
+        "grouped_parts": lambda: ordered.grouped_parts(table, keys, order, "v", flag, "g", F.struct("id", "text"), "ids", "p", 50),
+    }[scan]
+    # The consumer reads few of the columns; the exchange stays one all the same.
+    for df in (made(), made().groupBy("k").agg(F.count("*").alias("n"))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Scan parquet") == 2, plan
+        whole_rows = [line for line in plan.splitlines() if "REPARTITION" in line and "ReusedExchange" not in line]
+        assert len(whole_rows) == 1, plan
+
+
+def test_counts_and_grouped_lists(rows, split_everything):
+    w = W.partitionBy("k")
+    same(
+        ordered.ranked(rows, ["k"], ["ts", "id"], "r", count="n").select("id", "n"),
+        rows.select("id", F.count(F.lit(1)).over(w).alias("n")),
+    )
+    flag = lambda d: F.when(d["p"].isNull() | (d["p"] != d["v"]), 1).otherwise(0)
+    lists = ordered.grouped_parts(rows, ["k"], ["ts", "id"], "v", flag, "g", F.col("id"), "ids", "p", part_rows=3)
+    grouped = ordered.lag_then_group(rows, ["k"], ["ts", "id"], "v", flag, "g", "p")
+    plain = grouped.withColumn("part", F.floor((F.col("place") - 1) / 3).cast("int")).groupBy("k", "g", "part").agg(
+        F.array_sort(F.collect_list(F.struct("place", "id")))["id"].alias("ids")
+    )
+    same(lists.select("k", "g", "part", "ids"), plain)
