@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from atticwork.functions import text
-from atticwork.operators import books, chunking, transcripts
+from atticwork.operators import books, chunking, markdown, transcripts
 
 MD = """# Top
 
@@ -104,6 +105,70 @@ def test_grep_context(spark):
     assert got[0].context == "    one\n>>> two СЛОВО слово\n    three"
 
 
+def found(source):
+    return [(b["line_start"], b["line_end"], b["kind"], " > ".join(b["headings"])) for b in markdown.blocks_of(source)]
+
+
+def test_underlined_headings():
+    assert found("Top\n===\na\n\nLong\ntitle\n  ---\nb\n\n- x\n---\n\n# One #\n## Two#") == [
+        (3, 3, "prose", "Top"), (8, 8, "prose", "Top > Long title"), (10, 10, "prose", "Top > Long title"), (11, 11, "prose", "Top > Long title"),
+    ]
+    assert found("# A ##\n### C\nc\n## B\nb")[0][3] == "A > C" and found("# A ##\n### C\nc\n## B\nb")[1][3] == "A > B"
+
+
+def test_fences_by_sign_and_length():
+    assert found("````\n```\n# no\n```\n````\n# yes\na") == [(1, 5, "prose", ""), (7, 7, "prose", "yes")]
+    assert found("~~~ x`y\n```\n# no\n~~~~\n# yes\na") == [(1, 4, "prose", ""), (6, 6, "prose", "yes")]
+    assert found("``` a`b\n# yes\n\n    ```\n\n```\nopen") == [(1, 1, "prose", ""), (4, 4, "prose", "yes"), (6, 7, "prose", "yes")]
+
+
+def test_tables_end_at_other_blocks():
+    table = "| a | b |\n|---|---|\n| 1 | 2 |\n"
+    for other in ("```\ncode\n```", "# h\nx", "> q", "- i", "---", "<div>"):
+        assert found(table + other)[0] == (1, 3, "pipe", "")
+    assert found("text\n" + table + "| 3 |\n\nend") == [(1, 1, "prose", ""), (2, 5, "pipe", ""), (7, 7, "prose", "")]
+    assert found("| a | b |\n|---|\n") == [(1, 2, "prose", "")]
+
+
+def test_lists_and_what_they_hold():
+    assert found("- a\n\n- b\n\n  more\n\nend") == [
+        (1, 5, "prose", ""), (1, 1, "prose", ""), (3, 5, "prose", ""), (3, 3, "prose", ""), (5, 5, "prose", ""), (7, 7, "prose", ""),
+    ]
+    assert found("1. a\n   - x\n   - y\nlazy\n2. b\n* c") == [
+        (1, 5, "prose", ""), (1, 4, "prose", ""), (1, 1, "prose", ""), (2, 4, "prose", ""), (2, 2, "prose", ""), (3, 4, "prose", ""),
+        (5, 5, "prose", ""), (6, 6, "prose", ""),
+    ]
+    assert found("- ```\n  # no\n\n  ```\n- # in\n\nx") == [
+        (1, 5, "prose", ""), (1, 4, "prose", ""), (5, 5, "prose", ""), (7, 7, "prose", "in"),
+    ]
+    assert found("a\n2. b\n\n2. c") == [(1, 2, "prose", ""), (4, 4, "prose", "")]
+
+
+def test_quotes_html_and_indents():
+    assert found("> # in\n> | a | b |\n> |--|--|\n> | 1 | 2 |\nnext") == [(1, 5, "prose", ""), (2, 5, "pipe", "in")]
+    assert markdown.blocks_of("> | a | b |\n> |--|--|\n> | 1 | 2 |")[1]["lines"] == ["| a | b |", "|--|--|", "| 1 | 2 |"]
+    assert found("<!-- # no\n\n# no -->\n    code\n\n    # no\ntext\n    text") == [(1, 3, "prose", ""), (4, 6, "prose", ""), (7, 8, "prose", "")]
+    assert found("<div>\n# no\n\n# yes\nx") == [(1, 2, "prose", ""), (5, 5, "prose", "yes")]
+    assert found(None) == found("") == found(" \n\t\n") == found("# only") == []
+
+
+@pytest.mark.parametrize("unit", ["> ", "- ", "#", "`", "| ", "# " + " " * 50, "a\n", "> a\nb\n", "- a\n\n", "```\n", "<a "])
+def test_long_texts_take_little_time(unit):
+    start = time.time()
+    markdown.blocks_of(unit * 40_000)
+    markdown.blocks_of("x\n" + unit * 40_000 + "\ny")
+    assert time.time() - start < 20
+
+
+def test_chunks_are_dealt_once(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame([(i, "a.md", MD) for i in range(50)], "doc long, source string, text string").write.parquet(path)
+    corpus = spark.read.parquet(path)
+    plan = chunking.chunk_markdown(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in chunking.grep_context(corpus, "deep")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cut_by_size_small_cases():
     assert chunking.cut_by_size("short", 10, 3) == ["short"]
     assert chunking.cut_by_size("   ", 10, 3) == []
