@@ -90,7 +90,40 @@ def failed_runs(t: Tables) -> DataFrame:
     return b.failed_runs(runs)
 
 
-@query()
+_PACKED = rf"""
+WITH RECURSIVE s0 AS (
+    SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), E' \t\r\n'),
+               '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\r\n')), lambda x: x <> '') AS ss FROM documents
+),
+s1 AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS i FROM s0),
+s2 AS (SELECT doc_id, i, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s1),
+s AS MATERIALIZED (
+    SELECT doc_id, ss, list_concat([0], (SELECT list(CAST(upto AS BIGINT) ORDER BY i) FROM s2 WHERE s2.doc_id = s0.doc_id)) AS b
+    FROM s0 WHERE len(ss) > 0
+),
+runs AS (
+    SELECT doc_id, b, 0 AS run, 0 AS opened, greatest(1, len(list_filter(b, lambda x: x <= {b.PACK_MAX} + 1)) - 1) AS stop, 0 AS first FROM s
+    UNION ALL
+    SELECT doc_id, b, CASE WHEN joined THEN run ELSE run + 1 END, CASE WHEN joined THEN opened ELSE next END, next_stop, next
+    FROM (
+        SELECT *, b[next_stop + 1] - 1 - b[next + 1] < {b.PACK_MIN} AS joined
+        FROM (
+            SELECT *, greatest(next + 1, len(list_filter(b, lambda x: x <= b[next + 1] + {b.PACK_MAX} + 1)) - 1) AS next_stop
+            FROM (
+                SELECT *, least(stop, greatest(first + 1, len(list_filter(b, lambda x: x <= b[stop + 1] - {b.PACK_OVERLAP})) - 1,
+                    len(list_filter(b, lambda x: x < b[stop + 2] - 1 - {b.PACK_MAX})))) AS next
+                FROM runs WHERE stop < len(b) - 1
+            )
+        )
+    )
+),
+spans AS (SELECT doc_id, run, min(opened) AS a, max(stop) AS z FROM runs GROUP BY ALL)
+SELECT doc_id, run AS chunk_no, array_to_string(ss[a + 1:z], ' ') AS chunk_text, b[a + 1] AS start_pos, b[z + 1] - 1 AS end_pos
+FROM spans JOIN s USING (doc_id)
+"""
+
+
+@query(_PACKED)
 def packed_sentences(t: Tables) -> DataFrame:
     out = b.pack_sentences(t.documents.select("doc_id", "text"), "text")
     return out.select("doc_id", "chunk_no", "chunk_text", "start_pos", "end_pos")
@@ -107,7 +140,20 @@ def long_section_chars(t: Tables) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.sum(size).alias("chars"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS (
+        SELECT doc_id, length(x) AS size, CAST(floor(length(x) / ceil(length(x) / 2000.0)) AS BIGINT) AS target,
+               CASE WHEN length(x) > 2000 THEN string_split(x, chr(10) || chr(10)) ELSE [x] END AS ps
+        FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS x FROM documents)),
+    fold AS (
+        SELECT doc_id, ps, target, 1 AS i, length(ps[1]) + 2 AS held, 0 AS part_no FROM c
+        UNION ALL
+        SELECT doc_id, ps, target, i + 1, CASE WHEN more THEN length(ps[i + 1]) ELSE held + length(ps[i + 1]) + 2 END, part_no + CAST(more AS INT)
+        FROM (SELECT *, held + length(ps[i + 1]) + 2 > target AS more FROM fold WHERE i < len(ps)))
+    SELECT doc_id, part_no, CASE WHEN any_value(size) > 2000 THEN 'Doc - {b.PART_WORD} ' || CAST(part_no + 1 AS VARCHAR) ELSE 'Doc' END AS part_title,
+        string_agg(fold.ps[i], chr(10) || chr(10) ORDER BY i) AS part_content
+    FROM fold JOIN c USING (doc_id) GROUP BY doc_id, part_no"""
+)
 def long_section_parts(t: Tables) -> DataFrame:
     own = t.documents.select("doc_id", F.lit("Doc").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
     return b.split_long_section(own, "title", "content", 2000).select("doc_id", "part_no", "part_title", "part_content")
@@ -128,12 +174,56 @@ def markdown_corpus(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("doc"), "source", F.array_join(shaped, "\n\n").alias("text"))
 
 
-@query()
+def _place(mark: str, length: int) -> str:
+    """Where a slice from column ``pos`` ends if it ends before the last such separator in reach."""
+    window = f"substr(content, pos + {ch.CHUNK_OVERLAP + 2}, {ch.CHUNK_SIZE + length - ch.CHUNK_OVERLAP - 1})"
+    found = f"strpos(reverse({window}), {mark})"
+    return f"CASE WHEN {found} > 0 THEN pos + {ch.CHUNK_OVERLAP + 1} + length({window}) - {found} - {length - 1} END"
+
+
+_STOP = (
+    f"CASE WHEN length(content) - pos <= {ch.CHUNK_SIZE} THEN length(content) "
+    f"ELSE coalesce({_place('chr(10) || chr(10)', 2)}, {_place('chr(10)', 1)}, {_place(chr(39) + ' ' + chr(39), 1)}, pos + {ch.CHUNK_SIZE}) END"
+)
+
+
+def _chunks_sql(body: str) -> str:
+    """Chunks of prose blocks: body(doc, source, section, block, line_start, line_end, content)."""
+    return f"""WITH RECURSIVE body AS MATERIALIZED ({body}),
+    cuts AS (
+        SELECT doc, block, 0 AS k, content, pos, {_STOP} AS stop FROM (SELECT *, 0 AS pos FROM body)
+        UNION ALL
+        SELECT doc, block, k, content, pos, {_STOP} FROM (
+            SELECT doc, block, k + 1 AS k, content, greatest(stop - {ch.CHUNK_OVERLAP}, pos + 1) AS pos FROM cuts WHERE length(content) - pos > {ch.CHUNK_SIZE})
+    ),
+    pieces AS (
+        SELECT doc, block, 0 AS k, 'paragraph_full' AS chunk_type, content AS piece FROM body
+        UNION ALL SELECT doc, block, k, '', substr(content, pos + 1, stop - pos) FROM cuts
+    )
+    SELECT doc, source, section, line_start, line_end, chunk_type, '' AS table_headers, piece AS content,
+        row_number() OVER (PARTITION BY doc, section, chunk_type ORDER BY block, k) AS chunk_index
+    FROM pieces JOIN body USING (doc, block) WHERE trim(piece, E' \\t\\r\\n') <> ''"""
+
+
+# Neither corpus has lines that Markdown would take for anything but text.
+@query(
+    _chunks_sql(
+        r"""SELECT doc, source, section, i AS block, 2 * i + 1 AS line_start, 2 * i + 1 AS line_end, trim(line, E' \t\r') AS content
+        FROM (SELECT doc_id AS doc, source, trim(regexp_replace(string_split(text, chr(10))[1], '[*`]|__', '', 'g'), E' \t\r') AS section,
+                     unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+        WHERE i > 0 AND trim(line, E' \t\r') <> ''"""
+    )
+)
 def chunked_corpus(t: Tables) -> DataFrame:
     return ch.chunk_markdown(markdown_corpus(t))
 
 
-@query()
+@query(
+    _chunks_sql(
+        r"""SELECT doc_id AS doc, source, '' AS section, 0 AS block, 1 AS line_start, len(string_split(text, chr(10))) AS line_end,
+        trim(text, E' \t\r\n') AS content FROM documents WHERE trim(text, E' \t\r\n') <> ''"""
+    )
+)
 def chunked_documents(t: Tables) -> DataFrame:
     return ch.chunk_markdown(corpus(t))
 
@@ -181,8 +271,9 @@ def grep_context(t: Tables) -> DataFrame:
 @query(
     r"""WITH x AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)
     SELECT doc_id FROM x WHERE length(s) >= 20 AND len(regexp_extract_all(s, '[\p{L}\p{N}]')) >= 3
-    AND (regexp_matches(s, '(?i)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|(?:порт|port)\s*:?\s*\d{2,5}|(?:vlan|влан)\s*:?\s*\d+|\b0x[0-9a-f]{4,}\b')
-         OR len(regexp_extract_all(s, '\p{L}')) >= 0.15 * length(s))"""
+    AND (regexp_matches(s, '(?i)"""
+    + tx.VALUABLE
+    + r"""') OR len(regexp_extract_all(s, '\p{L}')) >= 0.15 * length(s))"""
 )
 def embeddable_documents(t: Tables) -> DataFrame:
     return ch.valid_chunks(t.documents.withColumnRenamed("text", "content")).select("doc_id")
