@@ -46,8 +46,8 @@ _VISITS = """
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, events FROM closed"
 )
 def streamed_visits(t: Tables) -> DataFrame:
-    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes").drop("_s")
-    out = s.run_to_the_end(stream(t), "ts", build, "visits")
+    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes")
+    out = s.run_to_the_end(stream(t), "ts", build, "visits", at_once=True)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("user_id", stamp("first_ts"), stamp("last_ts"), "events")
 
@@ -57,8 +57,8 @@ def streamed_visits(t: Tables) -> DataFrame:
     + "SELECT user_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, events FROM closed"
 )
 def streamed_visits_from_gap_on(t: Tables) -> DataFrame:
-    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes", strict=False).drop("_s")
-    out = s.run_to_the_end(stream(t), "ts", build, "visits-from")
+    build = lambda df: s.visit_sessions(df, "user_id", "ts", "1 hour", "10 minutes", strict=False)
+    out = s.run_to_the_end(stream(t), "ts", build, "visits-from", at_once=True)
     return out.select("user_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "events")
 
 
@@ -69,10 +69,8 @@ def streamed_visits_from_gap_on(t: Tables) -> DataFrame:
     round(date_diff('microsecond', last_seen, seen_again) / 3600000000.0, 3) AS gap_hours FROM a WHERE last_seen IS NOT NULL"""
 )
 def streamed_repeat_alerts(t: Tables) -> DataFrame:
-    folder = shared_dir(t.spark, "day-visits")
-    build = lambda df: s.visit_sessions(df, "user_id", "ts", "24 hours", "10 minutes").drop("_s")
-    visits = s.run_to_the_end(stream(t), "ts", build, "day-visits", folder)
-    out = s.run_available(s.repeat_alerts(s.follow(t.spark, folder, visits.schema), "user_id"), "alerts")
+    build = lambda df: s.repeat_alerts(s.visit_sessions(df, "user_id", "ts", "24 hours", "10 minutes"), "user_id")
+    out = s.run_to_the_end(stream(t), "ts", build, "alerts", at_once=True)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("person_id", stamp("last_seen"), stamp("seen_again"), F.round("gap_hours", 3).alias("gap_hours"))
 
@@ -81,7 +79,7 @@ def streamed_repeat_alerts(t: Tables) -> DataFrame:
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL"""
 )
 def streamed_calendar_counts(t: Tables) -> DataFrame:
-    out = s.run_to_the_end(stream(t), "ts", lambda df: s.calendar_counts_stream(df, "ts", ["event_type"], "10 minutes"), "calendar")
+    out = s.run_to_the_end(stream(t), "ts", lambda df: s.calendar_counts_stream(df, "ts", ["event_type"], "10 minutes"), "calendar", at_once=True)
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
@@ -92,16 +90,35 @@ def streamed_calendar_counts(t: Tables) -> DataFrame:
 )
 def streamed_sliding_counts(t: Tables) -> DataFrame:
     build = lambda df: s.calendar_counts_stream(df, "ts", ["event_type"], "10 minutes", "1 day", "12 hours")
-    out = s.run_to_the_end(stream(t), "ts", build, "sliding")
+    out = s.run_to_the_end(stream(t), "ts", build, "sliding", at_once=True)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "event_type", "events")
 
 
-@query("SELECT count(DISTINCT props) AS kept FROM events")
+@query("SELECT DISTINCT sha256(props) AS data_hash FROM events WHERE props IS NOT NULL")
 def streamed_ingest(t: Tables) -> DataFrame:
-    """Which copy arrives first is open, how many hashes are kept is not."""
+    """Which copy arrives first is open, which hashes are kept is not."""
     hashed = stream(t).withColumn("data_hash", F.sha2("props", 256))
     out = s.run_available(s.ingest_stream(hashed, ["data_hash"], "ts", "40 days"), "ingest")
-    return out.agg(F.count(F.lit(1)).alias("kept"))
+    return out.select("data_hash")
+
+
+@query(
+    """WITH w AS (SELECT *, event_id % 3 AS wave FROM events),
+    m AS (SELECT wave, max(ts) AS newest FROM w GROUP BY wave),
+    x AS (SELECT w.event_id, w.wave, w.ts <= (SELECT max(newest) FROM m WHERE m.wave < w.wave) - INTERVAL 20 DAY AS late FROM w)
+    SELECT event_id, wave FROM x WHERE late"""
+)
+def late_events(t: Tables) -> DataFrame:
+    """All events, coming in three waves: those more than 20 days behind when they come."""
+    folder = shared_dir(t.spark, "waves")
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    waves = events.withColumn("wave", F.col("event_id") % 3)
+    late = None
+    for wave in range(3):
+        waves.where(F.col("wave") == wave).write.mode("append").parquet(f"{folder}/in")
+        arriving = t.spark.readStream.schema(waves.schema).parquet(f"{folder}/in")
+        _, late = s.split_late(arriving, "ts", "20 days", f"{folder}/out")
+    return late.select("event_id", "wave")
 
 
 @query(
@@ -121,17 +138,19 @@ def streamed_enrichment(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT user_id, event_id, ts, to_microseconds(CAST(1000000 * floor(value) AS BIGINT)) + INTERVAL 30 MINUTE - to_microseconds(1) AS hold FROM events),
-    e AS (SELECT *, max(ts + hold) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM d),
-    g AS (SELECT *, sum(CASE WHEN until IS NULL OR ts > until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
-    v AS (SELECT user_id, b, min(ts) AS block_start, count(*) AS sentences FROM g GROUP BY ALL)
-    SELECT user_id, strftime(block_start, '%Y-%m-%d %H:%M:%S') AS block_start, sentences FROM v"""
+    """WITH d AS (SELECT user_id, event_id, ts, ts + to_microseconds(CAST(1000000 * floor(value) AS BIGINT)) AS ends FROM events),
+    e AS (SELECT *, lag(ends) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM d),
+    g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
+    v AS (SELECT user_id, b, min(ts) AS block_start, max(ends) AS block_end, count(*) AS sentences FROM g GROUP BY ALL)
+    SELECT user_id, strftime(block_start, '%Y-%m-%d %H:%M:%S') AS block_start, strftime(block_end, '%Y-%m-%d %H:%M:%S') AS block_end, sentences FROM v"""
 )
 def streamed_pause_blocks(t: Tables) -> DataFrame:
     """Events as utterances that last ``value`` seconds, a pause of half an hour between blocks."""
-    build = lambda df: s.pause_blocks_stream(df, "user_id", "ts", F.floor("value"), 1800, "10 minutes")
-    out = s.run_to_the_end(stream(t), "ts", build, "pauses")
-    return out.select("user_id", F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block_start"), "sentences")
+    build = lambda df: s.pause_blocks_stream(df, "user_id", "ts", "event_id", F.floor("value"), 1800, "10 minutes")
+    out = s.run_to_the_end(stream(t), "ts", build, "pauses", at_once=True)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", stamp("block_start"), stamp("block_end"), "sentences")
 
 
 @query(
