@@ -56,9 +56,8 @@ def pack_sentences(
     @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(
-                lambda s: [dict(zip(("text", "start", "end"), c)) for c in pack_text(list(s), smallest, largest, overlap)]
-            )
+            packed = [pack_text(list(s), smallest, largest, overlap) for s in batch]
+            yield pd.Series([[dict(zip(("text", "start", "end"), c)) for c in p] for p in packed], dtype=object)
 
     tidy = t.strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
     packed = run(F.coalesce(t.sentences(tidy), F.array().cast("array<string>")))
@@ -110,30 +109,29 @@ def split_long_section(df: DataFrame, title: str, content: str, max_size: int =
     )
 
 
-def flatten_sections(tree: DataFrame, levels: int) -> DataFrame:
+def flatten_sections(tree: DataFrame) -> DataFrame:
     """Leaf sections of a nested book.
 
-    ``tree(book, sections)`` where a section is ``struct(title, p: array<string>, section: array<…>)``
-    nested ``levels`` deep. A leaf's title is its path joined by `` - ``; parts without a title do not
+    ``tree(book, sections)`` where a section is ``struct(title, p: array<string>, section: array<…>)``, nested as
+    deep as the schema is. A leaf's title is its path joined by `` - ``; parts without a title do not
     show. Sections without text of their own are left out.
     """
     # Zero-padded positions put siblings in reading order when compared as text.
     here = tree.select("book", F.posexplode("sections").alias("_i", "s"), F.lit("").alias("path"), F.lit("").alias("above"))
     leaves: list[DataFrame] = []
-    for level in range(levels):
+    while True:
         fields = here.schema["s"].dataType.fieldNames()
         title = t.strip(F.coalesce("s.title", F.lit(""))) if "title" in fields else F.lit("")
         titled = here.withColumn("full_title", F.concat_ws(" - ", F.when(F.col("above") != "", F.col("above")), F.when(title != "", title)))
         titled = titled.withColumn("path", F.concat("path", F.format_string("%08d.", "_i")))
         own = F.array_join(F.filter(F.transform("s.p", t.strip), lambda p: p != ""), "\n") if "p" in fields else F.lit("")
-        last = level == levels - 1 or "section" not in fields
-        is_leaf = F.lit(True) if last else F.coalesce(F.size("s.section") <= 0, F.lit(True))
+        nested = F.coalesce(F.size("s.section") > 0, F.lit(False)) if "section" in fields else F.lit(False)
         leaves.append(
-            titled.filter(is_leaf).select("book", "path", F.col("full_title").alias("title"), F.coalesce(own, F.lit("")).alias("content"))
+            titled.filter(~nested).select("book", "path", F.col("full_title").alias("title"), F.coalesce(own, F.lit("")).alias("content"))
         )
-        if last:
+        if "section" not in fields:
             break
-        here = titled.filter(F.size("s.section") > 0).select(
+        here = titled.filter(nested).select(
             "book", F.posexplode("s.section").alias("_i", "s"), "path", F.col("full_title").alias("above")
         )
     out = leaves[0]

@@ -40,7 +40,7 @@ _TREE = r"""
 
 @query(f"WITH {_TREE} SELECT book, title, content FROM named")
 def book_leaves(t: Tables) -> DataFrame:
-    return b.flatten_sections(trees(t), 2).select("book", "title", "content")
+    return b.flatten_sections(trees(t)).select("book", "title", "content")
 
 
 @query(
@@ -48,7 +48,7 @@ def book_leaves(t: Tables) -> DataFrame:
     SELECT book, title, idx, printf('%04d', idx) || '_' || replace(replace(lower(title), ' - ', '_'), ' ', '_') AS file_name FROM r"""
 )
 def numbered_sections(t: Tables) -> DataFrame:
-    return b.number_sections(b.flatten_sections(trees(t), 2)).select("book", "title", "idx", "file_name")
+    return b.number_sections(b.flatten_sections(trees(t))).select("book", "title", "idx", "file_name")
 
 
 @query(

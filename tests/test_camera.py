@@ -74,6 +74,15 @@ def test_only_json_is_kept(events):
         ({"a": [{"data": {"n": {"m": [1]}, "objects": ["car"]}}]}, True),
         ({"data": {"n": {"objects": 1}}}, False),
         ({"data": ["detections"]}, False),
+        ({"data": {"a": [[[[[[[[{"b": [1]}]]]]]]]], "objects": []}}, True),
+        ({"data": {"a": [[[[[[[[{"objects": [1]}]]]]]]]]}}, False),
+        ({"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"data": {"x": {}, "detections": 1}}}}}}}}}}, True),
+        ({"data": {"x": {"data": 1}, "y": {"objects": 2}}, "objects": 1}, False),
+        ({"data": 5, "x": {"objects": 1}}, False),
+        ({"data": {"x": 'a " } " objects'}, "detections": []}, False),
+        ({"path": "/media/frigate/x"}, True),
+        ({"x": "y" * 200_000 + "clip"}, True),
+        ({"x": ['"' * 100_000], "data": {"k": "z" * 100_000, "objects": []}}, True),
     ],
 )
 def test_video_rule(spark, body, expected):

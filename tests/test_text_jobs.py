@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from atticwork.functions import text
 from atticwork.operators import books, chunking, markdown, transcripts
+from atticwork.sources import books as book_source
 
 MD = """# Top
 
@@ -258,7 +259,7 @@ def test_nested_book_from_xml(spark, tmp_path):
             ),
         ).alias("sections"),
     )
-    leaves = books.flatten_sections(flat, 2)
+    leaves = books.flatten_sections(flat)
     assert [(r.title, r.content) for r in leaves.orderBy("path").collect()] == [
         ("Part - 1", "one\ntwo"), ("Part - 2", "three"), ("Part - 1", "again"), ("", "untitled"),
     ]
@@ -267,6 +268,37 @@ def test_nested_book_from_xml(spark, tmp_path):
     assert [(r.idx, r.title, r.file_name) for r in got] == [(5, "Part - 1", "0005_part_1"), (6, "", "0006")]
 
 
+def test_books_of_any_depth_many_in_a_file(spark, tmp_path):
+    def book(name, sections):
+        return f"<FictionBook><description><title-info><book-title>{name}</book-title></title-info></description><body><title><p>x</p></title>{sections}</body></FictionBook>"
+
+    deep = "<section><title><p>L{n}</p></title>{inner}</section>"
+    inner = "<p>deep <emphasis>text</emphasis></p>"
+    for n in range(5, 0, -1):
+        inner = deep.format(n=n, inner=inner)
+    beyond = "<p>far</p>"
+    for n in range(4, 0, -1):
+        beyond = deep.format(n=n, inner=beyond)
+    many = "".join(book(f"B{i}", f"<section><title><p>S</p><p>{i}</p></title><p>text {i}</p></section>") for i in range(300))
+    (tmp_path / "many.fb2").write_text(f"<books>{book('Deep', inner)}{many}{book('Empty', '')}</books>", encoding="utf-8")
+    tree = book_source.scan_books(spark.newSession(), str(tmp_path / "many.fb2"))
+    assert tree.count() == 302
+    got = {r.book: (r.title, r.content) for r in books.flatten_sections(tree).collect()}
+    assert len(got) == 301 and got["Deep"] == ("L1 - L2 - L3 - L4 - L5", "deep text") and got["B7"] == ("S 7", "text 7")
+    (tmp_path / "far.fb2").write_text(book("Far", beyond), encoding="utf-8")
+    far = books.flatten_sections(book_source.scan_books(spark, str(tmp_path / "far.fb2"), depth=2)).collect()
+    assert [(r.title, "far" in r.content) for r in far] == [("L1 - L2", True)]
+
+
+def test_a_file_of_books_is_read_in_parallel(spark, tmp_path):
+    one = "<FictionBook><body>\n<section><p>{}</p></section>\n</body></FictionBook>\n".format("word " * 400)
+    (tmp_path / "big.fb2").write_text("<books>" + one * 600 + "</books>", encoding="utf-8")
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(200_000))
+    tree = book_source.scan_books(own, str(tmp_path / "big.fb2"))
+    assert tree.count() == 600 and tree.rdd.getNumPartitions() > 3
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("ЧАСТЬ ПЕРВАЯ - 1",), ("x" * 49 + " yy",), ("???",)], "t string")
     assert [r.x for r in df.select(text.file_title("t").alias("x")).collect()] == ["часть_первая_1", "x" * 49 + "_yy", ""]
