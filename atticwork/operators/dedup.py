@@ -26,13 +26,38 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     """The first row of each key by ``order`` (ascending, nulls first).
 
     A ``min`` over a struct is combined on the map side, so copies of a hot key collapse before the
-    shuffle; no window and no sort of whole groups.
+    shuffle. All columns are in that struct: for rows with long texts or vectors see ``first_of_equal``.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     picked = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))
     return picked.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def _digest(columns: list[str]) -> Column:
+    """A digest of several values; each is written with its length, or as null."""
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(text.isNull(), "-").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+    return F.sha2(F.concat(*[part(c) for c in columns]).cast("binary"), 256)
+
+
+def first_of_equal(df: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """Of rows with equal ``keys`` the first one by ``place``, which tells the rows of a key apart.
+
+    In two steps, so that neither the keys nor the other columns are ever sorted or held in an aggregate: the first
+    place per digest of the keys, combined before the shuffle, then the rows that are at such a place.
+    """
+    marked = df.withColumn("_digest", _digest(keys))
+    first = marked.groupBy("_digest").agg(F.min(F.struct(*place)).alias("_place"))
+    winners = first.select(F.col("_digest").alias("_d"), *[F.col(f"_place.{c}").alias(f"_p_{c}") for c in place])
+    same = F.col("_digest") == F.col("_d")
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    # The winners, a few numbers each, are hashed; the rows pass by unsorted.
+    return marked.join(winners.hint("shuffle_hash"), same, "left_semi").drop("_digest")
+
+
 def rank_copies(df: DataFrame, key: str, order: list[str], name: str = "row_num") -> DataFrame:
     """Repeated rows numbered within their key. Number and count of a key come from the same pass."""
     return ranked(df.filter(F.col(key).isNotNull()), [key], order, name, count="_copies").filter("_copies > 1").drop("_copies")

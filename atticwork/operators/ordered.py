@@ -281,6 +281,13 @@ def _parts(rows: DataFrame, keys: list[str], near: list[str], place: str, item:
     )
 
 
+def parts_by_place(
+    df: DataFrame, keys: list[str], place: str, item: Column, name: str, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Ordered lists as in ``in_parts``, of rows that already know their ``place`` within the key, from 1."""
+    return _parts(df, keys, [], place, item, name, part_rows)
+
+
 def in_parts(
     df: DataFrame,
     keys: list[str],

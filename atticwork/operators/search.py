@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from .dedup import first_per_key
+from .dedup import first_of_equal, first_per_key
 from .ordered import in_parts, ranked
 
 PLACE = ["source", "line_start", "chunk_index", "section", "chunk_type"]
@@ -33,8 +33,10 @@ def with_filters(
 
 
 def stored_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per (source, section, chunk_type, content); of equal chunks the first in order stays."""
-    return first_per_key(chunks, ["source", "section", "chunk_type", "content"], ["line_start", "chunk_index"])
+    """One row per (source, section, chunk_type, content); of equal chunks the first in order stays.
+
+    Line and index tell the chunks of a source, section and type apart."""
+    return first_of_equal(chunks, ["source", "section", "chunk_type", "content"], ["line_start", "chunk_index"])
 
 
 def count_chunks(chunks: DataFrame) -> DataFrame:
@@ -223,12 +225,10 @@ def section_content(chunks: DataFrame, source: str, section: str) -> DataFrame:
     return section_texts(chunks.filter((F.col("source") == source) & (F.col("section") == section)))
 
 
-def similar_sections(chunks: DataFrame, source: str, section: str, limit: int = 5) -> DataFrame:
-    """Section names to offer when a section was not found."""
-    return (
-        chunks.filter((F.col("source") == source) & t.contains_ci("section", section))
-        .select("source", "section").distinct().orderBy("section").limit(limit)
-    )
+def similar_sections(chunks: DataFrame, source: str, section: str, limit: int | None = None) -> DataFrame:
+    """Section names to offer when a section was not found: all, or the first ``limit``."""
+    names = chunks.filter((F.col("source") == source) & t.contains_ci("section", section)).select("source", "section").distinct().orderBy("section")
+    return names if limit is None else names.limit(limit)
 
 
 def table_chunks(chunks: DataFrame, section: str, source: str | None = None, limit: int | None = None) -> DataFrame:

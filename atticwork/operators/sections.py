@@ -112,14 +112,14 @@ def search_sections(
     query: str,
     query_vec: list[float],
     exact_terms: list[str] | None = None,
-    limit: int = 50,
+    limit: int | None = None,
     semantic_top_k: int = 15,
     fuzzy_top_k: int = 10,
     source: str | None = None,
 ) -> DataFrame:
     """Sections found by name, meaning, spelling or content, in that order of trust.
 
-    A section found several ways is listed once under the most trusted one.
+    A section found several ways is listed once under the most trusted one. All are listed, or the first ``limit``.
     """
     def branch(df: DataFrame, priority: int, count: Column, score: Column, rank: Column) -> DataFrame:
         return df.select(
@@ -144,8 +144,5 @@ def search_sections(
         parts.append(branch(held, CONTENT, F.col("match_count"), none, -F.col("match_count")))
     found = first_per_key(reduce(DataFrame.unionByName, parts), ["source", "section"], ["priority"])
     names = F.array(*[F.lit(n) for n in ("NAME", "SEMANTIC", "FUZZY", "CONTENT")])
-    return (
-        found.orderBy("priority", "sort_val", "source", "section")
-        .limit(limit)
-        .withColumn("match_type", F.get(names, F.col("priority")))
-    )
+    ordered = found.orderBy("priority", "sort_val", "source", "section")
+    return (ordered if limit is None else ordered.limit(limit)).withColumn("match_type", F.get(names, F.col("priority")))

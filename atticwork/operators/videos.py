@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ordered import in_parts
+from .ordered import in_parts, ranked
 from .paging import top_per_key
 
 VIDEO_SORT = {
@@ -86,12 +86,14 @@ def track_faces(tracks: DataFrame, segments: DataFrame) -> DataFrame:
 
 def video_persons(tracks: DataFrame, segments: DataFrame, persons: DataFrame) -> DataFrame:
     """Persons of each video with segment count, best quality and place in the list (``rank``): most
-    segments first, then best quality."""
+    segments first, then best quality, none last, then by id."""
     per_pair = track_faces(tracks, segments).groupBy("video_id", "local_person_id").agg(
         F.count("segment_id").alias("segment_count"), F.max("quality").alias("best_quality")
     )
     names = persons.select(F.col("id").alias("local_person_id"), "label", "known_name")
-    return per_pair.join(names, "local_person_id", "left")
+    placed = per_pair.withColumns({"_a": -F.col("segment_count"), "_b": F.col("best_quality").isNull(), "_c": -F.col("best_quality")})
+    placed = ranked(placed, ["video_id"], ["_a", "_b", "_c", "local_person_id"], "rank").drop("_a", "_b", "_c")
+    return placed.join(names, "local_person_id", "left")
 
 
 def video_segments(tracks: DataFrame, segments: DataFrame) -> DataFrame:

@@ -87,8 +87,10 @@ _FACES = f"""WITH {_V}, {_T}, {_S}, {_L}, x AS (SELECT t.video_id, t.local_perso
 
 @query(
     _FACES
-    + """SELECT x.video_id, x.local_person_id, count(segment_id) AS segment_count, max(quality) AS best_quality, l.label, coalesce(l.known_name, '') AS known_name
-    FROM x LEFT JOIN l ON l.id = x.local_person_id GROUP BY ALL"""
+    + """, p AS (SELECT video_id, local_person_id, count(segment_id) AS segment_count, max(quality) AS best_quality FROM x GROUP BY ALL)
+    SELECT video_id, local_person_id, segment_count, best_quality, l.label, coalesce(l.known_name, '') AS known_name,
+        row_number() OVER (PARTITION BY video_id ORDER BY segment_count DESC, best_quality DESC NULLS LAST, local_person_id NULLS FIRST) AS rank
+    FROM p LEFT JOIN l ON l.id = local_person_id"""
 )
 def video_persons(t: Tables) -> DataFrame:
     out = v.video_persons(tracks(t), segments(t), local(t))

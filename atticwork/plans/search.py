@@ -327,7 +327,7 @@ def section_content(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {_NAMED} SELECT DISTINCT source, section FROM c WHERE source = 'Brand#4' AND contains(lower(section), 'gear')
-    ORDER BY section LIMIT 5"""
+    ORDER BY section"""
 )
 def similar_sections(t: Tables) -> DataFrame:
     return search.similar_sections(named_chunks(t), "Brand#4", "GEAR")
@@ -426,6 +426,19 @@ _EACH = f"""
 """
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 3),
+    d AS (SELECT query, vec_id, greatest(1 - list_cosine_similarity(embedding::DOUBLE[], v), 0) AS distance FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), vec_id) AS rank FROM d QUALIFY rank <= 5)
+    SELECT query, vec_id AS id, rank, round(distance, 6) AS distance FROM r WHERE vec_id <> query"""
+)
+def nearest_to_table(t: Tables) -> DataFrame:
+    """Every vector of one label asks all vectors."""
+    asked = t.embeddings.filter("label = 3").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = nearest.nearest_to_each(vector_chunks(t), asked, 5)
+    return found.filter("id <> query").select("query", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {_EACH} SELECT query, vec_id AS id, rank, round(distance, 6) AS distance FROM r")
 def nearest_to_each(t: Tables) -> DataFrame:
     found = nearest.nearest_to_each(vector_chunks(t), PROBES, 10)

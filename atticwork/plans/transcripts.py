@@ -81,11 +81,11 @@ _TURNS = r"""
 
 
 @query(
-    f"""WITH {_TURNS.format(pause='30')} SELECT file, turn, min(start_sec) AS start_sec, min(speaker) AS speaker, count(*) AS blocks,
+    f"""WITH {_TURNS.format(pause='30')} SELECT file, turn, 0 AS part, min(start_sec) AS start_sec, min(speaker) AS speaker, count(*) AS blocks,
     string_agg(text, ' ' ORDER BY start_sec, id) AS text FROM n GROUP BY file, turn"""
 )
 def speaker_turns(t: Tables) -> DataFrame:
-    return tr.speaker_turns(blocks(t), 30.0).drop("part")
+    return tr.speaker_turns(blocks(t), 30.0)
 
 
 _MERGED = _TURNS.replace("role AS speaker", "CASE WHEN role = 'system' THEN 'user' ELSE role END AS speaker")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atticwork import registry
 from atticwork.functions import fuzzy, text, vectors
-from atticwork.operators import nearest, search, sections
+from atticwork.operators import dedup, nearest, search, sections
 
 SCHEMA = (
     "id long, source string, section string, chunk_type string, table_headers string, content string, "
@@ -169,11 +169,78 @@ def test_nearest_to_each_equals_brute_force(spark):
         assert [got[(name, k + 1)] for k in range(4)] == [i for _, i in sorted(dist)[:4]]
 
 
-def test_queries_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", 1)
-    got = {r["query"]: r.id for r in nearest.nearest_to_each(df, [("a", [1.0, 0.1]), ("b", [0.1, 1.0])], 1).collect()}
-    assert got == {"a": 1, "b": 2}
+def clustered(seed, n, dims=8):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(12, dims))
+    return np.repeat(middles, n // 12, axis=0) + rng.normal(size=(n // 12 * 12, dims)) * 0.05
+
+
+def brute_nearest(corpus, queries, k):
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    distance = np.maximum(1 - unit(queries) @ unit(corpus).T, 0)
+    return {(int(q), r + 1): round(float(d), 9) for q, row in enumerate(distance) for r, d in enumerate(np.sort(row)[:k])}
+
+
+@pytest.mark.parametrize("most", [20_000, 100])
+def test_a_table_of_queries(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(nearest, "TABLE_QUERIES", most)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 90)
+    monkeypatch.setattr(nearest, "CORPUS_PARTS", 3)
+    monkeypatch.setattr(nearest, "_ROWS", 50)
+    monkeypatch.setattr(nearest, "_QUERIES", 70)
+    corpus, queries = clustered(3, 900), clustered(4, 300)
+    path = str(tmp_path / "corpus")
+    rows = [(f"r{i:04d}", v.tolist()) for i, v in enumerate(corpus)]
+    bad = [("null", None), ("short", [1.0]), ("nan", [float("nan")] * 8), ("hole", [None] + [1.0] * 7)]
+    spark.createDataFrame(rows + bad, "id string, embedding array<double>").repartition(5).write.parquet(path)
+    asked = [(i, v.tolist()) for i, v in enumerate(queries)] + [(9001, None), (9002, [1.0]), (9003, [float("nan")] * 8)]
+    table = spark.createDataFrame(asked, "query long, vector array<double>")
+    found = nearest.nearest_to_each(spark.read.parquet(path), table, 6)
+    got = {(r["query"], r["rank"]): round(r.distance, 9) for r in found.collect()}
+    assert got == brute_nearest(corpus, queries, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") == 1
+
+
+def test_five_thousand_queries_in_one_scan(spark, tmp_path):
+    corpus = clustered(5, 120)
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id long, embedding array<double>").write.parquet(path)
+    table = spark.range(5000).select(F.col("id").alias("query"), F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(8)]).alias("vector"))
+    found = nearest.nearest_to_each(spark.read.parquet(path), table.filter("query > 0"), 2)
+    assert found.count() == 2 * 4999
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Scan parquet") == 1
+
+
+def test_far_rows_are_left_out(monkeypatch):
+    corpus = clustered(6, 2400)
+    queries = corpus[::200] * 2
+    compared = []
+    merge = nearest._Nearest._merge
+    monkeypatch.setattr(nearest, "_ROWS", 100)
+    monkeypatch.setattr(nearest._Nearest, "_merge", lambda self, i, ids, distance: (compared.append(len(ids)), merge(self, i, ids, distance))[1])
+    best = nearest._Nearest(list(range(len(queries))), queries, 3)
+    best.add(np.arange(len(corpus)), corpus)
+    assert sum(compared) < 0.6 * len(corpus) * len(queries)
+    assert {(q, r + 1): round(float(d), 9) for q, (_, ds) in enumerate(best._found) for r, d in enumerate(ds)} == brute_nearest(corpus, queries, 3)
+
+
+def test_first_of_equal_rows_without_sorting_texts(spark, tmp_path):
+    rows = [(i, "a" if i % 2 else None, f"text {i % 7}" if i % 5 else None, i * 37 % 101) for i in range(300)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "id long, kind string, content string, place long").repartition(4).write.parquet(path)
+    df = spark.read.parquet(path)
+    got = dedup.first_of_equal(df, ["kind", "content"], ["place", "id"])
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        want.setdefault((r[1], r[2]), r)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.values(), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    heavy = [line for line in plan.splitlines() if ("Sort " in line or "Aggregate" in line) and "content" in line]
+    assert not heavy and "SortMergeJoin" not in plan
+    # A length before each value keeps ("ab", "c") and ("a", "bc") apart.
+    pairs = spark.createDataFrame([(1, "ab", "c"), (2, "a", "bc"), (3, "-", None), (4, None, "-")], "id long, x string, y string")
+    assert dedup.first_of_equal(pairs, ["x", "y"], ["id"]).count() == 4
 
 
 def test_split_matches_promotes_the_best(spark):
