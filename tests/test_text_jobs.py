@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from atticwork import sql_functions
 from atticwork.functions import text
 from atticwork.operators import books, chunking, markdown, transcripts
 from atticwork.sources import books as book_source
@@ -391,3 +392,16 @@ def test_speaker_names_wrap_around(spark):
 @pytest.mark.parametrize("seconds, shown", [(0, "[00:00:00]"), (3725.9, "[01:02:05]"), (86400, "[1 day, 0:00:00]"), (180000, "[2 days, 2:00:00]")])
 def test_clock(spark, seconds, shown):
     assert spark.range(1).select(text.clock(F.lit(float(seconds))).alias("c")).first().c == shown
+
+
+def test_chunks_by_sql_function(spark):
+    rnd = random.Random(3)
+    pieces = [MD, "> q\n> | a | b |\n> |--|--|\n> | 1 \\| 2 | \"x\" |", "text " * 700, "+--+\n| a\n", "- a\n\n  b\n- c\n", "T\n==\n", "\n\n", "* **x** [l](u)\n"]
+    texts = ["".join(rnd.choices(pieces, k=4)) for _ in range(30)] + [None, ""]
+    corpus = spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "doc long, source string, text string")
+    corpus.createOrReplaceTempView("chunk_corpus")
+    sql_functions.register(spark)
+    by_sql = spark.sql("SELECT * FROM chunk_markdown(TABLE(chunk_corpus), 400, 40)")
+    plain = chunking.chunk_markdown(corpus, 400, 40).withColumn("doc", F.col("doc").cast("string")).select(*by_sql.columns)
+    assert sorted(map(tuple, by_sql.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert by_sql.count() > 200
