@@ -75,13 +75,23 @@ def windows_1251(text: Column) -> Column:
     The upper half of the page is moved onto the code points of the same numbers, which Latin-1 then
     writes as single bytes.
     """
-    upper = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(0x80, 0x100)]
-    known = "".join(c for c, _ in upper)
-    moved = "".join(m for c, m in upper if c)
+    known, moved = _upper_half()
     single = F.regexp_replace(text, rf"[^\x00-\x7f{known}]", "?")
     return F.encode(F.translate(single, known, moved), "ISO-8859-1").cast("string")
 
 
+def _upper_half() -> tuple[str, str]:
+    """The characters above ASCII of the Windows Cyrillic code page, and the code points of their numbers."""
+    upper = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(0x80, 0x100)]
+    return "".join(c for c, _ in upper), "".join(m for c, m in upper if c)
+
+
+def from_windows_1251(raw: Column) -> Column:
+    """The text of bytes in the Windows Cyrillic code page that a text source has read as they are."""
+    known, moved = _upper_half()
+    return F.translate(F.decode(raw.cast("binary"), "ISO-8859-1"), moved, known)
+
+
 def write_exchange(
     transactions: DataFrame, owner: dict[str, str], sender: str, receiver: str, path: str, order: list[str],
     windows: bool = False,

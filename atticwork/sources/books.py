@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.statements import from_windows_1251
+
 TAG = r"<[^<>]*>"
 
 
@@ -29,19 +31,20 @@ def _titled(section: Column, depth: int) -> Column:
     return F.struct(title.alias("title"), paragraphs.alias("p"), nested.alias("section"))
 
 
-def scan_books(spark: SparkSession, path: str, depth: int = 6, row_tag: str = "FictionBook", encoding: str = "UTF-8") -> DataFrame:
+def scan_books(spark: SparkSession, path: str, depth: int = 6, row_tag: str = "FictionBook", windows: bool = False) -> DataFrame:
     """``(file, book, sections)`` of XML books, many in a file or one: every ``row_tag`` element is a row.
 
     ``book`` is the title from the description. Sections nest ``depth`` levels deep; the text of deeper ones, which no
     usual book has, becomes paragraphs of the section at the last level. A book without sections has an empty list.
 
-    The files are read as text that the closing tag cuts into books, since that can be split: Spark's XML reader takes
+    The files are in UTF-8, or with ``windows`` in the Windows Cyrillic code page. They are read as text that the closing tag cuts into books, since that can be split: Spark's XML reader takes
     a file, or each line by itself, in one piece.
     """
     body = f"struct<section: array<{_section_type(depth)}>>"
     schema = f"description struct<`title-info`: struct<`book-title`: string>>, body array<{body}>"
     closing = f"</{row_tag}>"
-    pieces = spark.read.option("lineSep", closing).option("encoding", encoding).text(path).select(F.input_file_name().alias("file"), "value")
+    pieces = spark.read.option("lineSep", closing).text(path).select(F.input_file_name().alias("file"), "value")
+    pieces = pieces.withColumn("value", from_windows_1251(F.col("value"))) if windows else pieces
     opened = F.regexp_instr("value", F.lit(rf"<{row_tag}[\s>]"))
     xml = F.concat(F.substr("value", opened), F.lit(closing))
     parsed = pieces.filter(opened > 0).select("file", F.from_xml(xml, schema).alias("x")).select("file", "x.*")

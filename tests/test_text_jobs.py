@@ -286,6 +286,9 @@ def test_books_of_any_depth_many_in_a_file(spark, tmp_path):
     assert tree.count() == 302
     got = {r.book: (r.title, r.content) for r in books.flatten_sections(tree).collect()}
     assert len(got) == 301 and got["Deep"] == ("L1 - L2 - L3 - L4 - L5", "deep text") and got["B7"] == ("S 7", "text 7")
+    old = '<?xml version="1.0" encoding="windows-1251"?>' + book("Книга", "<section><p>Ёж — №1</p></section>")
+    (tmp_path / "old.fb2").write_bytes(old.encode("cp1251"))
+    assert [(r.book, r.content) for r in books.flatten_sections(book_source.scan_books(spark, str(tmp_path / "old.fb2"), windows=True)).collect()] == [("Книга", "Ёж — №1")]
     (tmp_path / "far.fb2").write_text(book("Far", beyond), encoding="utf-8")
     far = books.flatten_sections(book_source.scan_books(spark, str(tmp_path / "far.fb2"), depth=2)).collect()
     assert [(r.title, "far" in r.content) for r in far] == [("L1 - L2", True)]
