@@ -15,34 +15,31 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def _digests(lines: Column, min_chars: int) -> Column:
-    """Digest of each line's key, null for short keys; two chained 64-bit hashes."""
-
-    def digest(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(
-            F.char_length(key) >= min_chars,
-            F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")),
-        )
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
 
-    return F.transform(lines, digest)
+def _text_mark(text: Column) -> Column:
+    """Tells the texts of rows with the same id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, drop): per document the digests of the lines it loses.
+    """(doc_id, mark, bits): per text a bit for each place up to the last line that it loses, 64 places to a number.
 
-    A digest is counted once per document before the shuffle; a line that a third of all documents hold is a
-    few partial counts per task. The lookup joins two written tables, so that a hot digest is split.
+    A line's digest, two 64-bit hashes, is counted once per document before the shuffle; a line that a third of all
+    documents hold is a few partial counts per task. The lookup joins two written tables, so that a hot digest is split.
     """
-    held = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.explode(
-            F.array_distinct(F.array_compact(_digests(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), min_chars)))
-        ).alias("d"),
-    ).select("doc_id", "d.h1", "d.h2")
-    held = written(held, "line-digests")
+    text = F.col(text_col)
+    # The mark is made before the lines are, else it would be made for every line.
+    texts = docs.select(F.col(id_col).alias("doc_id"), _text_mark(text).alias("mark"), text.alias("text"))
+    lines = texts.select("doc_id", "mark", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    held = written(
+        keyed.select("doc_id", "mark", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "line-digests"
+    )
     counts = (
-        held.distinct()
+        held.select("doc_id", "h1", "h2").distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
@@ -50,7 +47,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     )
     counts = written(counts, "line-counts")
     lost = held.join(counts, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    words = lost.groupBy("doc_id", "mark", F.floor(F.col("place") / 64).cast("int").alias("number")).agg(
+        F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("bits")
+    )
+    gone = written(words.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("number", "bits"))).alias("gone")), "line-places")
+    # Computed here and joined as a column: an expression would be computed anew for every line that looks into it.
+    return gone.select("doc_id", "mark", _every_word(F.col("gone")).alias("bits"))
+
+
+def _every_word(gone: Column) -> Column:
+    """The bits of all numbers from 0 to the last one in an array, so that a place is looked up at once."""
+    def filled(w: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(gone, k - 1)["number"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), w["number"] - before - 1), F.array(w["bits"]))
+
+    return F.flatten(F.transform(gone, filled))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,23 +72,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     code points held by at least min_docs distinct documents lose every line except those of the largest
     document id that holds them (all its repeats stay). Rows with the same id count as one document and are
     treated alike; a null id is one document and the smallest. Other columns pass through, whatever their
-    names. An empty table gives an empty table.
+    names. An empty table gives an empty table. The work is linear in the lines of a text.
     """
     names = docs.columns
-    body = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), docs[id_col].alias("doc_id"))
-    drops = repeated_lines(docs, min_chars, min_docs, id_col, text_col).withColumnRenamed("doc_id", "drop_id")
-    body = body.join(drops, body["doc_id"].eqNullSafe(drops["drop_id"]), "left")
-    lines = F.split(F.coalesce(F.col("row").getField(text_col), F.lit("")), "\n")
-    gone = F.coalesce(F.col("drop"), F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
-    flagged = F.arrays_zip(F.col("lines").alias("line"), _digests(F.col("lines"), min_chars).alias("digest"))
-    kept = F.transform(
-        F.filter(flagged, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["digest"]), F.lit(False))),
-        lambda x: x["line"],
-    )
+    body = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), docs[id_col].alias("doc_id"), _text_mark(docs[text_col]).alias("mark"))
+    drops = repeated_lines(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"doc_id": "drop_id", "mark": "drop_mark"})
+    body = body.join(drops, body["doc_id"].eqNullSafe(drops["drop_id"]) & (body["mark"] == drops["drop_mark"]), "left")
+    goes = lambda i: F.getbit(F.get("bits", F.floor(i / 64).cast("int")), (i % 64).cast("int")) == 1
+    kept = F.filter("lines", lambda line, i: ~F.coalesce(goes(i), F.lit(False)))
     # Documents that lose nothing skip the per-line test.
-    out = (
-        body.select("row", lines.alias("lines"), gone.alias("gone"))
-        .withColumn("kept", F.when(F.size("gone") == 0, F.col("lines")).otherwise(kept))
+    return (
+        body.select("row", _lines(F.col("row").getField(text_col)).alias("lines"), "bits")
+        .withColumn("kept", F.when(F.col("bits").isNull(), F.col("lines")).otherwise(kept))
         .select(
             *[
                 (F.array_join("kept", "\n") if n == text_col else F.col("row").getField(n)).alias(n)
@@ -87,7 +93,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         )
     )
-    return out
 
 
 ORACLE = r"""

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,25 @@ def test_other_columns_and_empty(spark):
     assert out.columns == ["doc_id", "text", "h1", "drop", "n_lines", "n_dropped"]
     assert {(r.doc_id, r.text, r.h1, r["drop"]) for r in out.collect()} == {(1, "", 5, "d"), (2, "", 6, None), (3, LONG, None, "e")}
     assert line_dedup.dedup_lines(docs.where(F.lit(False))).collect() == []
+
+
+def test_texts_of_many_lines_take_linear_time(spark):
+    lines = 200_000
+    made = spark.range(3).select(
+        F.col("id").alias("doc_id"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.concat(
+            F.when(i % 2 == 0, F.lit("a line that all of them have ")).otherwise(F.concat(F.lit("one that nobody else has "), F.col("id").cast("string"))), i.cast("string"),
+        )), "\n").alias("text"),
+    )
+    start = time.time()
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.query(made).collect())
+    assert got == [(0, lines, lines // 2), (1, lines, lines // 2), (2, lines, 0)]
+    assert time.time() - start < 60
+
+
+def test_places_far_apart(spark):
+    shared = [f"line number {i} that three documents hold" for i in range(4)]
+    gaps = "\n".join(x for i, line in enumerate(shared) for x in [line, *[f"own {i} {k}" for k in range(70 * i)]])
+    rows = [(1, gaps), (1, "\n".join(shared[::-1])), (2, "x\n" * 64 + shared[3]), (2, "\n".join(shared)), (3, "\n".join(shared) + "\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in line_dedup.query(docs).collect()), key=repr) == sorted(brute(rows), key=repr)
