@@ -16,17 +16,19 @@ from .common import SPACE, ascii_lower, crc_fold, written
 ASSIGNED = r"""(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}[:=]\s{0,3})"""
 LONG = r"[A-Za-z0-9_+/=-]{20,}"
 #: An assigned value: the whole string up to its closing quote on the same line, or the run up to white space, however short.
-#: Signs that end a statement or a bracket behind a run without quotes are not part of it.
-QUOTED = r"""(?:"(?:[^"\\\r\n]|\\.)+(?=")|'(?:[^'\\\r\n]|\\.)+(?='))"""
-BARE = r"""["']?[^\s"']\S*?(?=["'),;\]}>]*(?:\s|$))"""
+#: Signs that end a statement or a bracket behind a run without quotes are not part of it. Both are possessive: Java's
+#: matcher calls itself for every turn of a loop that it may take back, and a long value would exhaust the stack.
+QUOTED = r"""(?:"(?!")[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+(?=")|'(?!')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?='))"""
+BARE = r"""["']?[^\s"'](?:[^\s"'),;\]}>]++|["'),;\]}>]++(?!\s|\z))*+"""
 #: user:pass@ of a URL; the user goes to the text before.
 LOGIN = r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/?#@\"']{0,128}:"
 URL_PASS = r"[^\s/\"'@](?:[^\s/\"']*[^\s/\"'@])?(?=@)"
 CANDIDATE = f"{ASSIGNED}(?:{QUOTED}|{BARE})|{LOGIN}{URL_PASS}|{LONG}"
 #: Upper bound of the labelled findings that the forest is fitted on, drawn by a hash.
 SAMPLE_ROWS = 20_000
-#: Upper bound of the dictionary: the commonest words of at least four letters over all texts; it is broadcast.
-DICTIONARY_WORDS = 20_000
+#: Words of at least four letters that make up so large a share of all such words are the dictionary. By this there are at
+#: most 200,000 of them, whatever the size of the corpus, which is why it may be broadcast.
+DICTIONARY_SHARE = 5e-6
 TREES, DEPTH, SEED = 24, 7, 11
 THRESHOLD = 0.5
 CONTEXT = 48
@@ -74,11 +76,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", bound: int = DICTIONARY_WORDS) -> DataFrame:
-    """(word) the commonest words of four letters or more over all texts, counted before the shuffle."""
+def dictionary(docs: DataFrame, text_col: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """(word) the common words of four letters or more over all texts, counted before the shuffle."""
     words = docs.select(F.explode(F.split(ascii_lower(F.col(text_col)), f"[{SPACE}]+")).alias("word"))
     words = words.where(F.col("word").rlike(r"^\p{L}{4,}[.,;:!?]?$")).select(F.regexp_replace("word", r"[.,;:!?]$", "").alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(bound).select("word")
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= F.lit(total * share)).select("word")
 
 
 _KINDS = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]"}
@@ -99,7 +103,8 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     Dictionary coverage is the share of a value's characters that stand in letter runs which are dictionary words.
     """
     found = found.withColumn("key", F.xxhash64("doc_id", "start", "value", "before", "after"))
-    runs = found.select("key", F.explode(F.regexp_extract_all(ascii_lower(F.col("value")), F.lit(r"([a-z]{4,})"), F.lit(1))).alias("word"))
+    # Equal rows share a key, whose words count once.
+    runs = found.select("key", "value").dropDuplicates(["key"]).select("key", F.explode(F.regexp_extract_all(ascii_lower(F.col("value")), F.lit(r"([a-z]{4,})"), F.lit(1))).alias("word"))
     covered = (
         runs.join(F.broadcast(words), "word").groupBy("key").agg(F.sum(F.char_length("word")).alias("covered"))
     )
@@ -122,7 +127,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         **{f"share_{k}": _count("value", p) / length for k, p in _KINDS.items()},
         **{f"{a}_{b}": _count("value", f"(?<={p})(?={q})") / length for a, p in _KINDS.items() for b, q in _KINDS.items()},
     }
-    rows = found.join(covered.dropDuplicates(["key"]), "key", "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / length)
+    rows = found.join(covered, "key", "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / length)
     return rows.withColumns({name: column.cast("double") for name, column in own.items()}).drop("covered")
 
 

@@ -99,3 +99,53 @@ def test_whole_values_are_found(spark):
         assert list(texts)[r.doc_id][r.start :].startswith(r.value)
     for i, wanted in enumerate(texts.values()):
         assert got.get(i, []) == ([wanted] if wanted else []), (i, got.get(i))
+
+
+@pytest.mark.parametrize("unit", ["a", "\\\\", "a)", ")", "\\x", "é"])
+def test_values_of_a_million_signs(spark, unit):
+    long = unit * 1_000_000
+    texts = [f'password = "{long}" x', f"token: {long} y", f"secret='{long}", f"http://u:{long}@h", f'pwd="{long}']
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.value for r in secrets_forest.candidates(docs, path_col=None).where("start < 20").collect()}
+    assert got[0] == long
+    assert got[1] == (long.rstrip(")") or ")") if unit != "\\\\" else long
+    assert len(secrets_forest.scan(docs, path_col=None).collect()) >= 3
+
+
+def test_repeated_rows_change_nothing(spark):
+    rows = [(1, 'key: token = "station1window2river"', "p"), (2, "letter garden station window river paper " * 5, "p")]
+    features = lambda docs: {
+        (r.doc_id, r.value): r.coverage
+        for r in secrets_forest.features(secrets_forest.candidates(docs), secrets_forest.dictionary(docs)).collect()
+    }
+    once = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    thrice = spark.createDataFrame(rows * 3, "doc_id long, text string, source string")
+    assert features(once) == features(thrice) == {(1, "station1window2river"): 18 / 20}
+
+
+def test_features_against_brute_force(spark):
+    rows, _ = made()
+    rows = [(i, (t or "")[:2000], s) for i, t, s in rows if i < 200]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    common = {}
+    for _, text, _ in rows:
+        for w in re.split("[ \t-\r]+", text.lower()):
+            if re.fullmatch(r"[^\W\d_]{4,}[.,;:!?]?", w):
+                w = w.rstrip(".,;:!?")
+                common[w] = common.get(w, 0) + 1
+    common = {w for w, n in common.items() if n >= sum(common.values()) * secrets_forest.DICTIONARY_SHARE}
+    kinds = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]"}
+    found = secrets_forest.features(secrets_forest.candidates(docs), secrets_forest.dictionary(docs)).collect()
+    assert len(found) > 100
+    for r in found:
+        v, n = r.value, len(r.value)
+        wanted = {
+            "chars": n, "coverage": sum(len(w) for w in re.findall("[a-z]{4,}", v.lower()) if w in common) / n,
+            "distinct": len(set(v)) / n, "run": max(len(m.group()) for m in re.finditer(r"(.)\1*", v)) / n,
+            "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), "vowels": len(re.findall("[aeiouAEIOU]", v)) / n,
+            "path_depth": (r.path or "").count("/"), "assigned": r.rule != "long", "quoted": r.before[-1:] in ("'", '"') and r.after[:1] in ("'", '"'),
+        }
+        wanted |= {f"share_{k}": len(re.findall(p, v)) / n for k, p in kinds.items()}
+        wanted |= {f"{a}_{b}": len(re.findall(f"(?<={p})(?={q})", v)) / n for a, p in kinds.items() for b, q in kinds.items()}
+        for name, value in wanted.items():
+            assert r[name] == pytest.approx(float(value)), (name, v)
