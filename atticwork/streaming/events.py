@@ -6,10 +6,12 @@ Late rows: every stateful stream takes ``delay``. A row older than the newest ev
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.camera import event_summary, valid_messages, wanted_messages
 from ..session import shared_dir
 
+# A keyed processor is also unpacked by a Python process beside the driver, which does not have the files that were
+# shipped to the workers: the classes of this module travel with their code and not by their names.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Later than any event; keyed processors get times as pandas nanoseconds, which end in 2262.
 END_OF_TIME = "2262-01-01 00:00:00"
 
