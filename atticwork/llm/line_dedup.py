@@ -77,7 +77,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     names = docs.columns
     body = docs.select(F.struct(*[docs[n] for n in names]).alias("row"), docs[id_col].alias("doc_id"), _text_mark(docs[text_col]).alias("mark"))
     drops = repeated_lines(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"doc_id": "drop_id", "mark": "drop_mark"})
-    body = body.join(drops, body["doc_id"].eqNullSafe(drops["drop_id"]) & (body["mark"] == drops["drop_mark"]), "left")
+    # The places are hashed and the texts pass by: they need not be sorted, at any size.
+    body = body.join(drops.hint("shuffle_hash"), body["doc_id"].eqNullSafe(drops["drop_id"]) & (body["mark"] == drops["drop_mark"]), "left")
     goes = lambda i: F.getbit(F.get("bits", F.floor(i / 64).cast("int")), (i % 64).cast("int")) == 1
     kept = F.filter("lines", lambda line, i: ~F.coalesce(goes(i), F.lit(False)))
     # Documents that lose nothing skip the per-line test.
