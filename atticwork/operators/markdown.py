@@ -270,7 +270,7 @@ def blocks_of(text: str | None) -> list[dict]:
 
 
 def blocks(text: Column | str) -> Column:
-    """Array of the blocks of a Markdown text."""
+    """Array of the blocks of a Markdown text. Bytes that are not UTF-8, which Spark keeps, become replacement characters."""
     kind = pa.list_(pa.struct([
         ("line_start", pa.int32()), ("line_end", pa.int32()), ("kind", pa.string()), ("headings", pa.list_(pa.string())),
         ("raw", pa.string()), ("lines", pa.list_(pa.string())),
@@ -281,4 +281,4 @@ def blocks(text: Column | str) -> Column:
         for batch in batches:
             yield pa.array([blocks_of(s.as_py()) for s in batch], type=kind)
 
-    return run(text)
+    return run(F.make_valid_utf8(text))

@@ -22,7 +22,7 @@ def read_corpus(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame
     return (
         spark.read.option("ignoreCorruptFiles", True)
         .text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-        .select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+        .select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_name").alias("source"), F.make_valid_utf8("value").alias("text"))
     )
 
 
