@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -61,3 +62,58 @@ def test_reruns_agree_and_columns_pass(docs):
 
 def test_empty(docs):
     assert mixing.mix(docs.where(F.lit(False))).collect() == []
+
+
+def plain_copies(rows, targets):
+    """Whole copies per row (id, size, source, h) by sorting each source's documents by Pareto ratio in Python."""
+    out = {}
+    for source, target in targets.items():
+        own = [r for r in rows if r[2] == source]
+        expected = lambda level: {r[0]: min(3.0, level * mixing.SIZE_GAIN ** (r[1].bit_length() - 1)) if r[1] else 0.0 for r in own}
+        low, high = 0.0, 3.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            e = expected(middle)
+            low, high = (middle, high) if sum(e[r[0]] * r[1] for r in own) < target else (low, middle)
+        e = expected(high)
+        certain = {r[0]: math.floor(e[r[0]] + 1e-9) for r in own}
+        ranked = []
+        for i, size, _, h in own:
+            out[i] = certain[i]
+            p = e[i] - certain[i]
+            if p > 1e-9:
+                u = (((h & (2**64 - 1)) >> 11) + 0.5) / 2**53
+                odds = (u / (1 - u)) / (p / (1 - p))
+                ranked.append((odds / (1 + odds), h, i, size))
+        ranked.sort()
+        short = target - sum(certain[r[0]] * r[1] for r in own)
+        if short <= 0:
+            continue
+        rest = list(ranked)
+        while rest and rest[0][3] <= short:
+            short -= rest[0][3]
+            out[rest.pop(0)[2]] += 1
+        spare = [(abs(size - short), order, h, i) for order, h, i, size in rest if abs(size - short) < short]
+        if spare:
+            out[min(spare)[3]] += 1
+    return out
+
+
+def test_copies_are_those_of_a_plain_pareto_order(docs):
+    once = docs.dropDuplicates(["doc_id"])
+    found = {r.doc_id: (r.copies, r["size"], r.source, r.h, r.target) for r in mixing.mix(once.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"))).collect()}
+    want = plain_copies([(i, v[1], v[2], v[3]) for i, v in found.items()], {v[2]: v[4] for v in found.values()})
+    assert {i: v[0] for i, v in found.items()} == want
+    assert len(set(want.values())) >= 3
+
+
+def test_very_long_texts_and_all_own_names_clash(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "w " * 10, "a"), (3, "w " * 50, "b"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("size", "source_size", "target", "copies", "kind", "level", "order", "bucket", "certain", "rest", "cut", "last", "extra"):
+        docs = docs.withColumn(name, F.lit("old"))
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "kind", "level", "order", "bucket", "certain", "rest", "cut", "last", "extra", "size", "source_size", "target", "copies"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i]["size"] for i in (1, 2, 3, 4)] == [400_000, 10, 50, 0] and got[4].copies == 0
+    assert all(r.kind == r.extra == "old" and 0 <= r.copies <= 3 for r in got.values())
