@@ -56,27 +56,26 @@ def strip(col: Column | str) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 
 
-# Two letters outside ordinary writing stand for the dot and the slash of an address while
-# punctuation is removed.
-_DOT, _SLASH = "ꙮ", "ꙩ"
-_ADDRESS = r"(?U)\b(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})"
+# An IPv4 address, its prefix length, and lines that are only table rules.
+_ADDRESS = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+_PREFIX = r"/\d{1,2}\b"
+_RULE_LINES = r"(?mdU)^[\s|+\-=:]+$"
+# Pieces of a text: in group 1 an address, a word or other white space; outside it a run of punctuation, blanks and line
+# ends. An address with a prefix length wins over one that starts before it and ends inside it.
+_PIECE = (
+    rf"(?U)({_ADDRESS}{_PREFIX}|(?!(?:\d{{1,3}}\.){{1,3}}{_ADDRESS}{_PREFIX}){_ADDRESS}\b|\w++|[\s&&[^ \r\n\t]]++)|[ \r\n\t[^\w\s]]++"
+)
 
 
 def embedding_text(col: Column | str) -> Column:
-    """Text as it is given to an embedding function: cell arrays unpacked, table rules, delimiters and
-    punctuation turned into blanks, IPv4 addresses with their optional prefix length kept."""
+    """Text as it is given to an embedding function: the words of a text, or of the cells of a JSON array, with one
+    blank for what stands between them. Table rules go; IPv4 addresses are kept with their optional prefix length."""
     raw = F.col(col) if isinstance(col, str) else col
     cells = F.from_json(strip(raw), "array<string>")
     unpacked = F.array_join(F.filter(cells, lambda c: c.isNotNull() & (c != "")), " ")
     text = F.when(strip(raw).startswith("[") & cells.isNotNull(), unpacked).otherwise(raw)
-    text = F.regexp_replace(text, r"(?mdU)^[\s|+\-=:]+$", " ")
-    text = F.regexp_replace(text, r"[|+\r\n\t]", " ")
-    quad = _DOT.join(["$1", "$2", "$3", "$4"])
-    text = F.regexp_replace(text, _ADDRESS + r"/(\d{1,2})\b", f"{quad}{_SLASH}$5")
-    text = F.regexp_replace(text, _ADDRESS + r"\b", quad)
-    text = F.regexp_replace(text, r"(?U)[^\w\s]", " ")
-    text = F.translate(text, _DOT + _SLASH, "./")
-    return strip(F.regexp_replace(text, " {2,}", " "))
+    pieces = F.regexp_extract_all(F.regexp_replace(text, _RULE_LINES, " "), F.lit(_PIECE), F.lit(1))
+    return strip(F.array_join(F.transform(pieces, lambda piece: F.when(piece == "", " ").otherwise(piece)), ""))
 
 
 # What makes a short or digit-heavy chunk worth keeping.
@@ -149,12 +148,15 @@ def trailing_number(col: Column | str) -> Column:
     return F.when(digits != "", digits).try_cast("int")
 
 
+# The date in a file name, and its first plausible year below.
+FILE_DATE = r"_(\d{4})([-._])(\d{2})\2(\d{2})"
+
+
 def file_month(col: Column | str, this_year: Column) -> Column:
     """``yyyy-MM`` from ``_yyyy?MM?dd`` in a file name, the same separator twice; null when there is
     no such date or the year or month is not plausible."""
-    pattern = r"_(\d{4})([-._])(\d{2})\2(\d{2})"
-    year = F.regexp_extract(col, pattern, 1)
-    month = F.regexp_extract(col, pattern, 3)
+    year = F.regexp_extract(col, FILE_DATE, 1)
+    month = F.regexp_extract(col, FILE_DATE, 3)
     plausible = year.try_cast("int").between(1981, this_year) & month.try_cast("int").between(1, 12)
     return F.when((year != "") & plausible, F.concat_ws("-", year, month))
 

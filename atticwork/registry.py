@@ -18,7 +18,7 @@ class Operator:
     bounds: dict[str, tuple[int, int | None]] = field(default_factory=dict)
 
 
-# Least (and, where there is one, largest) values of the size arguments.
+# The names of the operators. With them the least (and, where there is one, largest) values of the size arguments.
 REGISTRY: dict[str, Operator] = {
     "semantic_search": Operator(nearest.semantic_search, "chunks closest to a vector", {"top_k": (1, None)}),
     "exact_search": Operator(search.exact_search, "chunks holding a text", {"limit": (1, None)}),

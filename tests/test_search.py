@@ -269,6 +269,12 @@ def test_embedding_retries_and_drops(spark):
         ("IP 192.168.0.1: ok!\tnext_word", "IP 192.168.0.1 ok next_word"),
         ("[not json", "not json"),
         ("=====\nтекст — да", "текст да"),
+        ("1.2.3.4.5/24 and 1.2.3.4/245", "1 2.3.4.5/24 and 1.2.3.4 245"),
+        ("1234.1.1.1 10.0.0.1.2 1.2.3.4567", "1234 1 1 1 10.0.0.1 2 1 2 3 4567"),
+        ("a\xa0b \xa0 c\n\xa0|\n", "a\xa0b \xa0 c"),
+        ("x\xa0" * 20_000 + "y" * 100_000 + "." * 100_000, "x\xa0" * 20_000 + "y" * 100_000),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_embedding_text(spark, raw, clean):
