@@ -79,13 +79,22 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to 0.5 to 1: squares neither vanish nor overflow,
+    and all digits stay."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0.0))
+    return np.ldexp(x, -exponent[:, None])
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     """Matrix of the pairs of rows of a and b (double) with at least this cosine; exact, by dual traversal."""
+    same = b is a
+    a, b = scaled(a), scaled(b)
     length_a, length_b = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (a, b))
     unit_a, unit_b = a / length_a[:, None], b / length_b[:, None]
     limit = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
     tree_a = build_tree(unit_a, limit / 4)
-    tree_b = tree_a if b is a else build_tree(unit_b, limit / 4)
+    tree_b = tree_a if same else build_tree(unit_b, limit / 4)
     alive = np.ones((1, 1), bool)
     for depth in range(max(len(tree_a.levels), len(tree_b.levels))):
         sides = []
@@ -164,11 +173,12 @@ def _assign(left: pa.Table, right: pa.Table) -> pa.Table:
     """Distances of each vector to the pivots of its label; without pivots there is one cell."""
     n = left.num_rows
     vectors = left.column("vector").combine_chunks()
-    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    x = scaled(vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
     x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     if right.num_rows:
         order = np.argsort(right.column("pivot_id").to_numpy(), kind="stable")
         p = right.column("pivot").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(right.num_rows, -1)[order]
+        p = scaled(p)
         p = p / np.sqrt(np.einsum("ij,ij->i", p, p))[:, None]
         d = _distance(x @ p.T)
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import per_batch, record, written
-from .cover_tree import usable
+from .cover_tree import scaled, usable
 
 TABLES = 4
 PROBES = 36
@@ -40,8 +40,8 @@ def pseudo_rotation(unit: np.ndarray, table: int) -> np.ndarray:
 
 def codes(vectors: np.ndarray, tables: int, probes: int) -> np.ndarray:
     """(row, table, probe): signed axes by falling coordinate, the nearest first; axis i and its negative are i and i + d."""
-    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    unit = vectors / length[:, None]
+    vectors = scaled(vectors)
+    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
     out = []
     for t in range(tables):
         y = pseudo_rotation(unit, t)

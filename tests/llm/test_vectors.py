@@ -57,6 +57,19 @@ def test_cover_tree_against_brute_force(spark):
         assert sorted(map(tuple, found.collect())) == brute_links(rows, 0.98)
 
 
+def test_tiny_and_huge_vectors_keep_their_links(spark):
+    turn = np.random.default_rng(9)
+    x = turn.normal(size=(60, 8))
+    x[30:] = x[:30] + turn.normal(size=(30, 8)) * 0.05
+    want = cover_tree.close_pairs(x, x, 0.98)
+    assert want.sum() > 70
+    odd = x * np.exp2(turn.choice([-1000, -560, 0, 560, 1000], 60))[:, None]
+    assert (cover_tree.close_pairs(odd, odd, 0.98) == want).all()
+    assert (cross_polytope.codes(odd, 2, 3) == cross_polytope.codes(x, 2, 3)).all()
+    found = cover_tree.near_copies(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(odd)], "vec_id long, embedding array<double>, label int"), 0.98)
+    assert {r.vec_id: r.n_links for r in found.collect()} == dict(enumerate((want.sum(1) - 1).tolist()))
+
+
 def test_cover_tree_levels():
     turn = np.random.default_rng(5)
     x = turn.normal(size=(200, 8))
