@@ -28,12 +28,12 @@ def _markdown_files(t: Tables) -> str:
         F.lit("# "), F.col("s_name"), F.lit("\n\nBalance of the account "), F.col("s_acctbal").cast("string"),
         F.lit(" as reported.\n\n| Field | Value |\n|---|---|\n| nation | "), F.col("s_nationkey").cast("string"), F.lit(" |"),
     )
-    t.supplier.select(F.col("s_suppkey"), text.alias("value")).repartition("s_suppkey").write.option("lineSep", "\n").partitionBy("s_suppkey").text(folder)
+    files.write_small_files(t.supplier.select(F.col("s_suppkey"), text.alias("value")), "s_suppkey", "value", folder, "txt")
     return folder
 
 
 def _corpus(t: Tables) -> DataFrame:
-    read = corpus.read_corpus(t.spark, _markdown_files(t), "part-*.txt")
+    read = corpus.read_corpus(t.spark, _markdown_files(t), "*.txt")
     return read.withColumn("source", F.regexp_extract("doc", r"s_suppkey=(\d+)", 1))
 
 
@@ -140,7 +140,8 @@ def scanned_sidecars(t: Tables) -> DataFrame:
     taken = F.when(F.col("s_nationkey") % 2 == 0, F.struct(F.struct(F.lit("x").alias("y")).alias("a"), stamp(1_600_000_000).alias("photoTakenTime")))
     rows = t.supplier.select("s_suppkey", stamp(1_700_000_000).alias("creationTime"), taken.alias("more"))
     folder = shared_dir(t.spark, "sidecars")
-    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").json(folder)
+    own = rows.select("s_suppkey", F.to_json(F.struct("creationTime", "more")).alias("value"))
+    files.write_small_files(own, "s_suppkey", "value", folder, "json")
     found = files.read_sidecars(t.spark, folder)
     return found.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("id"), "created", "taken")
 

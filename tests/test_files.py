@@ -215,3 +215,20 @@ def test_timestamps_of_leads(spark):
     df = spark.createDataFrame([("79161234567", 1700000000123)], "phone string, created_at long")
     row = leads.show_leads(df).first()
     assert row.phone == "+7 (916) 123-45-67" and row.created_at == dt.datetime(2023, 11, 14, 22, 13, 20, 123000)
+
+
+def test_small_files_are_written_by_many_tasks_one_per_key(spark, tmp_path):
+    """So little text was one task, which made every file by itself."""
+    from atticwork.sources.files import write_small_files
+
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, "again"), (None, "no key"), (-3, None)]
+    folder = f"file://{tmp_path}/small"
+    write_small_files(spark.createDataFrame(rows, "id long, value string"), "id", "value", folder, "txt")
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path")).collect()
+    texts = {r.path.rsplit("/", 1)[1]: r.value for r in found}
+    assert len(found) == len(texts) == 302
+    assert texts["id=7.txt"] == "again\ntext 7\n" and texts["id=-3.txt"] == "\n" and texts["id=8.txt"] == "text 8\n"
+    assert texts["id=__HIVE_DEFAULT_PARTITION__.txt"] == "no key\n"
+    assert len({r.path.rsplit("/", 2)[1] for r in found}) >= 8
+    write_small_files(spark.createDataFrame([], "id long, value string"), "id", "value", f"file://{tmp_path}/none", "txt")
+    assert spark.read.text(f"file://{tmp_path}/none", wholetext=True, recursiveFileLookup=True).count() == 0
