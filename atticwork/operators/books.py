@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
-from .dedup import first_per_key
 from .ordered import ranked
 
 # Fixed values.
@@ -116,28 +116,29 @@ def flatten_sections(tree: DataFrame) -> DataFrame:
     deep as the schema is. A leaf's title is its path joined by `` - ``; parts without a title do not
     show. Sections without text of their own are left out.
     """
-    # Zero-padded positions put siblings in reading order when compared as text.
-    here = tree.select("book", F.posexplode("sections").alias("_i", "s"), F.lit("").alias("path"), F.lit("").alias("above"))
-    leaves: list[DataFrame] = []
-    while True:
-        fields = here.schema["s"].dataType.fieldNames()
-        title = t.strip(F.coalesce("s.title", F.lit(""))) if "title" in fields else F.lit("")
-        titled = here.withColumn("full_title", F.concat_ws(" - ", F.when(F.col("above") != "", F.col("above")), F.when(title != "", title)))
-        titled = titled.withColumn("path", F.concat("path", F.format_string("%08d.", "_i")))
-        own = F.array_join(F.filter(F.transform("s.p", t.strip), lambda p: p != ""), "\n") if "p" in fields else F.lit("")
-        nested = F.coalesce(F.size("s.section") > 0, F.lit(False)) if "section" in fields else F.lit(False)
-        leaves.append(
-            titled.filter(~nested).select("book", "path", F.col("full_title").alias("title"), F.coalesce(own, F.lit("")).alias("content"))
-        )
+    none = F.array().cast("array<string>")
+
+    def leaves(section: Column, kind: T.StructType, path: Column, above: Column) -> Column:
+        fields = kind.fieldNames()
+        title = t.strip(F.coalesce(section["title"], F.lit(""))) if "title" in fields else F.lit("")
+        titles = F.concat(above, F.when(title != "", F.array(title)).otherwise(none))
+        own = F.array_join(F.filter(F.transform(section["p"], t.strip), lambda p: p != ""), "\n") if "p" in fields else F.lit("")
+        leaf = F.array(F.struct(path.alias("path"), F.array_join(titles, " - ").alias("title"), F.coalesce(own, F.lit("")).alias("content")))
         if "section" not in fields:
-            break
-        here = titled.filter(nested).select(
-            "book", F.posexplode("s.section").alias("_i", "s"), "path", F.col("full_title").alias("above")
-        )
-    out = leaves[0]
-    for leaf in leaves[1:]:
-        out = out.unionByName(leaf)
-    return out.filter("content <> ''")
+            return leaf
+        inner = kind["section"].dataType.elementType
+        deeper = F.flatten(F.transform(section["section"], lambda s, i: leaves(s, inner, _placed(path, i), titles)))
+        return F.when(F.coalesce(F.size(section["section"]) > 0, F.lit(False)), deeper).otherwise(leaf)
+
+    # All leaves of a book are made in its row, in one pass: the text is read and cut up once, however deep it is.
+    kind = tree.schema["sections"].dataType.elementType
+    all_ = F.flatten(F.transform("sections", lambda s, i: leaves(s, kind, _placed(F.lit(""), i), none)))
+    return tree.select("book", F.explode(all_).alias("_leaf")).select("book", "_leaf.path", "_leaf.title", "_leaf.content").filter("content <> ''")
+
+
+def _placed(path: Column, i: Column) -> Column:
+    """Zero-padded positions put siblings in reading order when compared as text."""
+    return F.concat(path, F.format_string("%08d.", i))
 
 
 def number_sections(sections: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -147,8 +148,11 @@ def number_sections(sections: DataFrame, existing: DataFrame | None = None) -> D
     second uses of a title are skipped and take no number; untitled sections are always kept. The
     sections of a book come from one file, that is one row, so a plain window is bounded.
     """
-    titled = first_per_key(sections.filter("title <> ''"), ["book", "title"], ["path"])
-    fresh = titled.unionByName(sections.filter("title = ''"))
+    # Rows are dealt by book once, for both windows. Of sections at equal places the least is kept.
+    rest = [c for c in sections.columns if c not in ("book", "title", "path")]
+    use = F.row_number().over(W.partitionBy("book", "title").orderBy("path", *rest))
+    dealt = sections.filter("title IS NOT NULL").repartition("book")
+    fresh = dealt.withColumn("_use", use).filter("title = '' OR _use = 1").drop("_use")
     number = F.row_number().over(W.partitionBy("book").orderBy("path"))
     if existing is not None:
         fresh = fresh.join(existing.select("book", "title").distinct(), ["book", "title"], "left_anti")
