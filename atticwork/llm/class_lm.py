@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_fold, mix64, partitions_for, per_batch, record, tailed_blocks, written
+from .common import arrow_rows, crc_fold, mix64, partitions_for, per_batch, record, shuffled_once, tailed_blocks, written
 
 #: Words that are clustered first, one by one; all other words wait in units of equal endings.
 OWN_WORDS = 4096
@@ -145,7 +145,7 @@ def common_words(stored: DataFrame, parts: int, most: int = OWN_WORDS) -> np.nda
         top = np.lexsort((words.view(np.int64), -counts))[:most]
         return pa.Table.from_batches([record({"word": words[top].view(np.int64), "n": counts[top]}, tops)])
 
-    with arrow_rows(stored.sparkSession, PAGE_ROWS):
+    with arrow_rows(stored.sparkSession, PAGE_ROWS), shuffled_once(stored.sparkSession):
         summed = stored.select("words", "counts").mapInArrow(run, "part int, words binary, counts binary").groupBy("part").applyInArrow(add, "word long, n long")
         rows = summed.orderBy(F.desc("n"), "word").limit(most).collect()
     return np.array([r.word for r in rows], dtype=np.int64).view(np.uint64)
@@ -211,7 +211,7 @@ def _contexts(stored: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
         total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
         return pa.table({"block": [table.column("block")[0].as_py()], "counts": [total.tobytes()]}, schema=schema)
 
-    with arrow_rows(stored.sparkSession, PAGE_ROWS):
+    with arrow_rows(stored.sparkSession, PAGE_ROWS), shuffled_once(stored.sparkSession):
         rows = (
             stored.select("training", "lengths", "stream", "words", "endings")
             .mapInArrow(run, "block int, counts binary")
@@ -429,7 +429,7 @@ def transitions(streams: DataFrame) -> np.ndarray:
                 total += np.bincount(_neighbours(kinds)[0] * CLASSES + kinds, minlength=len(total))
         yield record({"counts": [total]}, schema)
 
-    with arrow_rows(streams.sparkSession, TEXT_ROWS):
+    with arrow_rows(streams.sparkSession, TEXT_ROWS), shuffled_once(streams.sparkSession):
         rows = (
             streams.where("training").select("classes").mapInArrow(run, "counts array<long>")
             .select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()

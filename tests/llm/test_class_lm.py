@@ -179,3 +179,12 @@ def test_exchange_goes_on_while_the_information_rises(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "_information", lambda bigrams: values.append(min(len(values), 9)) or float(values[-1]))
     class_lm.score_texts(spark.createDataFrame(made()[:60], "doc_id long, text string"))
     assert values == [*range(10), 9]
+
+
+def test_shuffles_are_dropped_with_the_job_that_made_them(spark):
+    """Disk holds the written tables, not the shuffles of every step beside them."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    class_lm.score_texts(spark.createDataFrame(made()[:100], "doc_id long, text string"))
+    assert tracker.shuffleStatuses().size() <= before + 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
