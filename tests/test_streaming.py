@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -138,6 +139,23 @@ def test_pause_blocks_of_overlapping_sentences_equal_the_batch(spark, tmp_path):
     assert got == sorted(((r.file, at(r.start_sec), at(r.end_sec), r.sentences) for r in want), key=str)
 
 
+def test_pause_blocks_of_many_keys_share_their_calls_to_the_state_store(spark, tmp_path):
+    """A batch asks for state by groups of keys, so time does not grow with the keys."""
+    rnd = random.Random(12)
+    rows = [(f"k{rnd.randrange(6000)}", float(rnd.randrange(4000)), i, rnd.choice([0.5, 3.0, 700.0])) for i in range(20_000)]
+    rows.sort(key=lambda r: r[1])
+    batches = [[(f, at(x), i, d) for f, x, i, d in rows[k : k + 7000]] for k in range(0, len(rows), 7000)]
+    stream = feed(spark, tmp_path, batches, "file string, ts timestamp, id long, seconds double")
+    build = lambda df: s.pause_blocks_stream(df, "file", "ts", "id", F.col("seconds"), 60.0, "5 minutes")
+    folder = str(tmp_path / "many")
+    out = s.run_to_the_end(stream, "ts", build, "t-many", folder=folder)
+    got = sorted((r.file, r.block_start, r.block_end, r.sentences) for r in out.where("file IS NOT NULL").collect())
+    batch = spark.createDataFrame([(f, i, x, x + d, "t") for f, x, i, d in rows], "file string, id long, start double, end double, text string")
+    assert got == sorted((r.file, at(r.start_sec), at(r.end_sec), r.sentences) for r in transcripts.pause_blocks(batch, 60.0).collect())
+    plan = build(stream)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"TransformWithStateInPySpark .*\[dealt#", plan) and s.PAUSE_GROUPS < len({r[0] for r in rows})
+
+
 def test_late_rows_are_a_result(spark, tmp_path):
     batches = [[("a", at(0)), ("b", None)], [("a", at(2_000)), ("c", at(-50_000))], [("b", at(1_399)), ("b", at(1_400)), ("b", at(1_401))], [("d", at(5_000))]]
     stream = feed(spark, tmp_path, batches, "k string, ts timestamp")
