@@ -20,6 +20,8 @@ PACK_MIN, PACK_MAX, PACK_OVERLAP = 700, 1500, 200
 MAX_SECTION = 100_000
 MIN_SINGLE, MIN_BATCH = 1000, 5000
 PART_WORD = "часть"
+#: Paragraphs of a text that are folded at once.
+FOLDED = 1024
 
 
 def pack_text(sentences: list[str], smallest: int, largest: int, overlap: int) -> list[tuple[str, int, int]]:
@@ -71,20 +73,30 @@ def split_long_section(df: DataFrame, title: str, content: str, max_size: int =
     """Sections above ``max_size`` characters cut at blank lines into about equal parts with numbered
     titles; others pass unchanged. Adds ``part_no``, ``part_title``, ``part_content``.
 
-    A fold over the paragraph array keeps only (part number, size); the texts are sliced afterwards.
+    A fold over the paragraph array keeps only sizes and places; the texts are sliced afterwards. Each step of a fold copies
+    its state, so the paragraphs are taken in blocks: the list of all cuts is copied once a block only.
     """
     size = F.length(content)
-    target = F.floor(size / F.ceil(size / max_size)).cast("int")
-    start = F.struct(F.lit(0).alias("held"), F.array(F.lit(0)).alias("cuts"))
+    # An empty text is one part too.
+    target = F.floor(size / F.greatest(F.ceil(size / max_size), F.lit(1))).cast("int")
+    none = F.array().cast("array<int>")
+
+    def state(held: Column, index: Column, first: Column, cuts: Column) -> Column:
+        return F.struct(held.alias("held"), index.alias("i"), first.alias("first"), cuts.alias("cuts"))
 
     def step(acc: Column, p: Column) -> Column:
-        length, index = p["size"] + 2, p["i"]
-        full = (acc["held"] + length > F.col("_target")) & (index > F.element_at(acc["cuts"], -1))
-        return F.when(
-            full, F.struct(p["size"].alias("held"), F.concat(acc["cuts"], F.array(index)).alias("cuts"))
-        ).otherwise(F.struct((acc["held"] + length).alias("held"), acc["cuts"].alias("cuts")))
+        length, index = F.length(p), acc["i"]
+        full = (acc["held"] + length + 2 > F.col("_target")) & (index > acc["first"])
+        return F.when(full, state(length, index + 1, index, F.concat(acc["cuts"], F.array(index)))).otherwise(
+            state(acc["held"] + length + 2, index + 1, acc["first"], acc["cuts"])
+        )
+
+    def block(acc: Column, at: Column) -> Column:
+        fresh = state(acc["held"], acc["i"], acc["first"], none)
+        return F.aggregate(F.slice("_paragraphs", at + 1, FOLDED), fresh, step, lambda new: state(new["held"], new["i"], new["first"], F.concat(acc["cuts"], new["cuts"])))
 
-    sizes = F.transform("_paragraphs", lambda p, i: F.struct(i.alias("i"), F.length(p).alias("size")))
+    blocks = F.sequence(F.lit(0), F.size("_paragraphs") - 1, F.lit(FOLDED))
+    start = state(F.lit(0), F.lit(0), F.lit(0), F.array(F.lit(0)))
     texts = F.transform(
         "_cuts",
         lambda at, k: F.array_join(
@@ -95,8 +107,8 @@ def split_long_section(df: DataFrame, title: str, content: str, max_size: int =
     long = df.withColumn("_long", size > max_size).withColumn(
         "_paragraphs", F.when(F.col("_long"), F.split(content, "\n\n")).otherwise(F.array(F.col(content)))
     )
-    long = long.withColumn("_target", target).withColumn("_sizes", sizes)
-    long = long.withColumn("_cuts", F.aggregate("_sizes", start, step)["cuts"])
+    cuts = F.aggregate(blocks, start, block)["cuts"]
+    long = long.withColumn("_target", target).withColumn("_cuts", cuts)
     return (
         long.select("*", F.posexplode(texts).alias("part_no", "part_content"))
         .withColumn(
@@ -105,7 +117,7 @@ def split_long_section(df: DataFrame, title: str, content: str, max_size: int =
                 F.col("_long"), F.concat(F.col(title), F.lit(f" - {PART_WORD} "), (F.col("part_no") + 1).cast("string"))
             ).otherwise(F.col(title)),
         )
-        .drop("_long", "_paragraphs", "_target", "_sizes", "_cuts")
+        .drop("_long", "_paragraphs", "_target", "_cuts")
     )
 
 

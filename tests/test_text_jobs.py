@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from atticwork import sql_functions
 from atticwork.functions import text
 from atticwork.operators import books, chunking, markdown, transcripts
+from atticwork.plans import CATALOG
 from atticwork.sources import books as book_source
 
 MD = """# Top
@@ -236,6 +237,43 @@ def test_long_sections_are_cut_at_blank_lines(spark):
             assert len(part) + 2 + len(following.split("\n\n")[0]) + 2 > target
 
 
+def test_an_empty_section_is_one_part(spark):
+    df = spark.createDataFrame([(1, "E", ""), (2, "T", "aa\n\nbb"), (3, "N", None)], "id int, title string, content string")
+    got = books.split_long_section(df, "title", "content", 5).select("id", "part_no", "part_title", "part_content").filter("id < 3").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "E", ""), (2, 0, "T - часть 1", "aa"), (2, 1, "T - часть 2", "bb")]
+
+
+def test_long_sections_of_many_blocks_of_paragraphs_are_cut_as_in_one_fold(spark, monkeypatch):
+    monkeypatch.setattr(books, "FOLDED", 7)
+    rnd = random.Random(5)
+    contents = ["\n\n".join("p" * rnd.choice([0, 1, 9, 40]) for _ in range(n)) for n in (1, 6, 7, 8, 14, 15, 300)]
+    df = spark.createDataFrame(list(enumerate(contents)), "id int, content string").withColumn("title", F.lit("T"))
+    got: dict[int, list] = {}
+    for r in sorted(books.split_long_section(df, "title", "content", 50).collect(), key=lambda r: (r.id, r.part_no)):
+        got.setdefault(r.id, []).append(r.part_content)
+    for i, content in enumerate(contents):
+        parts, held = [], 0
+        target = len(content) // max(1, -(-len(content) // 50))
+        for p in content.split("\n\n") if len(content) > 50 else [content]:
+            if parts and held + len(p) + 2 > target:
+                parts.append([p])
+                held = len(p)
+            else:
+                parts = parts or [[]]
+                parts[-1].append(p)
+                held += len(p) + 2
+        assert got[i] == ["\n\n".join(p) for p in parts]
+
+
+EMPTY_AND_LONG = [(1, ""), (2, "a\nb"), (3, "\n".join(["w" * 99] * 30))]
+
+
+def test_characters_of_long_sections_with_an_empty_text(spark, tmp_path):
+    spark.createDataFrame(EMPTY_AND_LONG, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chars = {r.doc_id: r.chars for r in CATALOG["long_section_chars"](spark, str(tmp_path)).collect()}
+    assert chars == {i: len(text.replace("\n", "")) for i, text in EMPTY_AND_LONG}
+
+
 def test_nested_book_from_xml(spark, tmp_path):
     xml = """<FictionBook><body><title><p>Book</p></title>
       <section><title><p>Part</p></title>
