@@ -274,6 +274,15 @@ def test_characters_of_long_sections_with_an_empty_text(spark, tmp_path):
     assert chars == {i: len(text.replace("\n", "")) for i, text in EMPTY_AND_LONG}
 
 
+def test_parts_of_long_sections_with_an_empty_text(spark, tmp_path):
+    spark.createDataFrame(EMPTY_AND_LONG, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    parts: dict[int, list] = {}
+    for r in sorted(CATALOG["long_section_parts"](spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.part_no)):
+        parts.setdefault(r.doc_id, []).append(r.part_content)
+    assert {i: "\n\n".join(p) for i, p in parts.items()} == {i: text.replace("\n", "\n\n") for i, text in EMPTY_AND_LONG}
+    assert parts[1] == [""] and len(parts[3]) > 1
+
+
 def test_nested_book_from_xml(spark, tmp_path):
     xml = """<FictionBook><body><title><p>Book</p></title>
       <section><title><p>Part</p></title>
